@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.dedup import formatting_duplicates
+from factloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from factloom.llm.packing import document_containers
 from factloom.llm.survivors import surviving_fields
 from factloom.llm.tokens import token_ids
@@ -19,6 +20,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return surviving_fields(*(table(spark, d, t) for t in ("facts", "fact_groups", "source_list", "chunks")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbour_pairs(nearest_neighbours(table(spark, d, "index_vectors")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting_duplicates(table(spark, d, "facts"))
 
@@ -32,7 +37,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p6_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p4_found, p6_found, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
