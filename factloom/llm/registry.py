@@ -11,6 +11,7 @@ from factloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from factloom.llm.packing import document_containers
 from factloom.llm.survivors import surviving_fields
 from factloom.llm.tokens import token_ids
+from factloom.llm.truncation import cut_shares, cut_texts
 from factloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting_duplicates(table(spark, d, "facts"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return cut_texts(table(spark, d, "extract_cache")).where("is_cut").select("entry_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return cut_shares(table(spark, d, "extract_cache"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
@@ -37,7 +46,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p4_found, p6_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p4_found, p6_found, p7_found, p7_shares, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
