@@ -11,6 +11,7 @@ from factloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from factloom.llm.packing import document_containers
 from factloom.llm.survivors import surviving_fields
 from factloom.llm.tokens import token_ids
+from factloom.llm.toxicity import review_scores, source_rates
 from factloom.llm.truncation import cut_shares, cut_texts
 from factloom.session import table
 
@@ -45,8 +46,20 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return document_containers(table(spark, d, "documents"))
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return review_scores(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where("category IS NOT NULL").select("doc_id", "category")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return source_rates(p10_scores(spark, d))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p4_found, p6_found, p7_found, p7_shares, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p4_found, p6_found, p7_found, p7_shares, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
