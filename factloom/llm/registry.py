@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm.dedup import formatting_duplicates
+from factloom.llm.names import entity_spellings, spelling_pairs
 from factloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from factloom.llm.packing import document_containers
 from factloom.llm.survivors import surviving_fields
@@ -22,6 +24,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return surviving_fields(*(table(spark, d, t) for t in ("facts", "fact_groups", "source_list", "chunks")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    facts = table(spark, d, "facts")
+    names = facts.select(F.explode(F.array("subject", "object")).alias("name"))
+    return spelling_pairs(entity_spellings(names, table(spark, d, "given_names")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(nearest_neighbours(table(spark, d, "index_vectors")))
 
@@ -59,7 +67,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p4_found, p6_found, p7_found, p7_shares, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p6_found, p7_found, p7_shares, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
