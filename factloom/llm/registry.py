@@ -75,16 +75,16 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_found, p7_shares, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)}
 
 
-_AMOUNT = r"(?i)^[\\s\\p{Z}\"'“”*<(\\[]*(?:(?:about|approximately|approx\\.|approx|around|roughly|circa|ca\\.|c\\.|nearly|almost|some|~|≈|put at|amounting to)\\s*)*[(]?\\s*(?:us\\$|\\p{Sc}|\\b(?:eur|usd|gbp|dkk)\\b)?\\s*[-+−]?\\s*(?:us\\$|\\p{Sc}|\\b(?:eur|usd|gbp|dkk)\\b)?\\s*[.,]?\\d"
+_AMOUNT = r"(?i)^[\s\p{Z}'“”*<(\[]*(?:(?:about|approximately|approx\.|approx|around|roughly|circa|ca\.|c\.|nearly|almost|some|~|≈|put at|amounting to)\s*)*[(]?\s*(?:us\$|\p{Sc}|\b(?:eur|usd|gbp|dkk)\b)?\s*[-+−]?\s*(?:us\$|\p{Sc}|\b(?:eur|usd|gbp|dkk)\b)?\s*[.,]?\d"
 
 
 def _best(field: str, usable: str) -> str:
-    return f"SELECT group_id, '{field}' AS field, seq FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY trust DESC, sure DESC, at DESC, seq) AS rn FROM m WHERE {usable}) WHERE rn = 1"
+    return f"SELECT group_id, '{field}' AS field, seq FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY trust DESC, sure DESC, ts DESC, seq) AS rn FROM m WHERE {usable}) WHERE rn = 1"
 
 
 def oracle_sql() -> dict[str, str]:
     amount = _AMOUNT.replace("'", "''")
-    survivors = f"""WITH m AS (SELECT g.group_id, f.seq, f.value, f.source_ref, coalesce(s.trust, -99) AS trust, CASE WHEN f.confidence BETWEEN 0 AND 1 AND NOT isnan(f.confidence) THEN f.confidence ELSE -1 END AS sure, coalesce(f.extracted_at, TIMESTAMP '0001-01-01') AS at
+    survivors = f"""WITH m AS (SELECT g.group_id, f.seq, f.value, f.source_ref, coalesce(s.trust, -99) AS trust, CASE WHEN f.confidence BETWEEN 0 AND 1 AND NOT isnan(f.confidence) THEN f.confidence ELSE -1 END AS sure, coalesce(f.extracted_at, TIMESTAMP '0001-01-01') AS ts
         FROM (SELECT DISTINCT group_id, seq FROM fact_groups) g JOIN facts f USING (seq) LEFT JOIN source_list s USING (source_id))
         {_best("value", f"regexp_matches(value, '{amount}')")} UNION ALL {_best("confidence", "sure >= 0")}
         UNION ALL {_best("source_ref", "len(list_intersect(regexp_extract_all(source_ref, '(?i)\\[\\s*chunk\\s+([^\\],\\s]+)\\s*\\]', 1), (SELECT list(DISTINCT chunk_id) FROM chunks))) > 0")}"""
