@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,7 +100,7 @@ class Rows:
         return np.bincount(self.flat, weights=g[self.row] * self.value, minlength=len(self.names))
 
 
-def fit_nnpu(x: Rows, positive: np.ndarray, prior: float, steps: int = 150, rate: float = 0.1, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+def fit_nnpu(x: Rows, positive: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, decay: float = 1e-6) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * R_p+ + max(0, R_u- - prior * R_p-) for the logistic loss, by Adam.
 
     positive: weights of the rows as positive examples (0: not one); all rows count as unlabelled.
@@ -130,13 +132,22 @@ class Model:
         self.weights, self.biases = weights.astype(np.float32), biases
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], rounds: int = 2) -> Model:
-        """Of a confirmed document the sentences that the last round scores highest are the positive examples."""
-        rows, doc = [], []
+    def fit(cls, texts: list[str], labels: list[str], rounds: int = 2, telling: float = 0.3) -> Model:
+        """Of a confirmed document the sentences that the last round scores highest are the positive examples.
+
+        An example has a telling word: of the documents with that word, a share of `telling` at least are confirmed. A document without
+        one has a wrong label and gives no example.
+        """
+        rows, doc, plain = [], [], []
         for i, t in enumerate(texts):
             for s in sentences(t):
-                rows.append(features(plain_words(s)))
+                words = plain_words(s)
+                rows.append(features(words))
+                plain.append({"~" if w[0] == "~" else w for w in words})
                 doc.append(i)
+        documents_with: dict[str, Counter] = {c: Counter() for c in (*CATEGORIES, "none")}
+        for i in range(len(texts)):
+            documents_with[labels[i]].update(set().union(*plain[bisect_left(doc, i) : bisect_right(doc, i)]))
         x, doc_of = Rows(rows), np.array(doc, np.int64)
         label_of = np.array(labels, object)[doc_of] if len(doc) else np.array([], object)
         w, b = np.zeros((len(CATEGORIES), len(x.names))), np.full(len(CATEGORIES), -5.0)
@@ -146,6 +157,11 @@ class Model:
         novelty = np.bincount(x.row, weights=rare[x.flat], minlength=x.n) / np.maximum(np.bincount(x.row, minlength=x.n), 1) if x.n else np.zeros(0)
         for k, c in enumerate(CATEGORIES):
             of = label_of == c
+            if not of.any():
+                continue
+            mine, others = documents_with[c], documents_with["none"]
+            told = np.array([o and any(mine[w] >= telling * (mine[w] + others[w]) for w in p) for o, p in zip(of, plain)], bool)
+            of = told
             if not of.any():
                 continue
             score = novelty.copy()
