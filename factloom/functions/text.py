@@ -72,8 +72,13 @@ def clean_entity(x: Column) -> Column:
     return F.when(is_null_like(x), "").otherwise(F.btrim(normalize_ws(x), F.lit(" ,;:")))
 
 
+def name_key(clean: Column) -> Column:
+    """The key of a name that is clean already."""
+    return normalize_ws(F.regexp_replace(F.lower(clean), r"[^a-z0-9%$€£\-\.\s]", ""))
+
+
 def entity_key(x: Column) -> Column:
-    return normalize_ws(F.regexp_replace(F.lower(clean_entity(x)), r"[^a-z0-9%$€£\-\.\s]", ""))
+    return name_key(clean_entity(x))
 
 
 def ordered_distinct(xs: Column) -> Column:

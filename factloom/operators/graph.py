@@ -8,16 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import clean_entity, entity_key, normalize_ws, query_tokens
+from factloom.functions.text import clean_entity, name_key, normalize_ws, query_tokens
 from factloom.session import cut, spread
 
-_KEYS = ("ks", "kp", "ko", "kt", "kv", "ku")
-
 
 def aliases_exact(facts: DataFrame) -> DataFrame:
     """(key, rep): of each entity key the spelling that comes first, by seq, the subject before the object."""
     both = facts.select(F.explode(F.array(*(F.struct(clean_entity(F.col(c)).alias("name"), F.col("seq"), F.lit(i).alias("place")) for i, c in enumerate(("subject", "object"))))).alias("e"))
-    both = both.select("e.*").where("name != ''").withColumn("key", entity_key(F.col("name")))
+    both = both.select("e.*").where("name != ''").withColumn("key", name_key(F.col("name")))
     return both.groupBy("key").agg(F.min_by("name", F.struct("seq", "place")).alias("rep"))
 
 
@@ -92,7 +90,7 @@ def aliases_fuzzy(facts: DataFrame, threshold: int = 92, most_rounds: int = 50)
     one; a key with a representative among them is none. Every round settles at least the first open key of each cluster.
     """
     first = facts.select(F.explode(F.array(*(F.struct(clean_entity(F.col(c)).alias("name"), (F.col("seq") * 2 + i).alias("at")) for i, c in enumerate(("subject", "object"))))).alias("e"))
-    first = first.select("e.*").where("name != ''").withColumn("key", entity_key(F.col("name"))).groupBy("key").agg(F.min_by("name", "at").alias("rep"), F.min("at").alias("at"))
+    first = first.select("e.*").where("name != ''").withColumn("key", name_key(F.col("name"))).groupBy("key").agg(F.min_by("name", "at").alias("rep"), F.min("at").alias("at"))
     first = cut(first)
     order = first.select(F.col("key").alias("other"), F.col("at").alias("other_at"))
     links = cut(similar_keys(first.where("key != ''"), threshold).join(first.select("key", "at"), "key").join(order, "other").where("other_at < at"))
@@ -116,25 +114,24 @@ def canonical_facts(facts: DataFrame, aliases: DataFrame | None = None, most_ref
     a key with any number of copies gives one bounded row.
     """
     aliases = aliases_exact(facts) if aliases is None else aliases
+    texts = ("subject", "predicate", "object", "value", "unit", "timeframe", "source_ref")
     f = facts.select(
         "seq", clean_entity(F.col("subject")).alias("s0"), normalize_ws(F.col("predicate")).alias("predicate"), clean_entity(F.col("object")).alias("o0"),
         *(normalize_ws(F.col(c)).alias(c) for c in ("value", "unit", "timeframe", "source_ref")), F.coalesce(F.nanvl("confidence", F.lit(0.0)), F.lit(0.0)).alias("confidence"),
-    ).where("s0 != '' AND predicate != '' AND o0 != ''")
-    f = f.withColumn("k1", entity_key(F.col("s0"))).withColumn("k2", entity_key(F.col("o0")))
+    )
+    f = cut(f.withColumn("k1", name_key(F.col("s0"))).withColumn("k2", name_key(F.col("o0")))).where("s0 != '' AND predicate != '' AND o0 != ''")  # filtered after the cut, so that names are cleaned once
     a = aliases.select(F.col("key").alias("k1"), F.col("rep").alias("subject"))
     b = aliases.select(F.col("key").alias("k2"), F.col("rep").alias("object"))
     f = f.join(a, "k1", "left").join(b, "k2", "left").withColumn("subject", F.coalesce("subject", "s0")).withColumn("object", F.coalesce("object", "o0"))
-    low = {"kp": "predicate", "kt": "timeframe", "kv": "value", "ku": "unit"}
-    f = f.withColumns({"ks": entity_key(F.col("subject")), "ko": entity_key(F.col("object"))} | {k: F.lower(c) for k, c in low.items()})
-    by_ref = f.groupBy(*_KEYS, F.lower("source_ref").alias("r")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("total"), F.min("seq").alias("seq"), F.min_by(F.struct("subject", "predicate", "object", "value", "unit", "timeframe", "source_ref"), "seq").alias("first")
-    )
-    nth = F.row_number().over(Window.partitionBy(*_KEYS).orderBy((F.col("r") == "").cast("int"), "seq"))
+    key = [name_key(F.col("subject")), F.lower("predicate"), name_key(F.col("object")), F.lower("timeframe"), F.lower("value"), F.lower("unit")]
+    f = f.select("seq", *texts, "confidence", F.lower("source_ref").alias("r"), F.xxhash64(*key).alias("h1"), F.xxhash64(F.lit("second"), *reversed(key)).alias("h2"))  # 128 bits stand for the key
+    by_ref = f.groupBy("h1", "h2", "r").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("total"), F.min(F.struct("seq", *texts)).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy((F.col("r") == "").cast("int"), "first.seq"))
     by_ref = by_ref.withColumn("nth", nth)
     refs = F.collect_list(F.when((F.col("nth") <= most_refs) & (F.col("r") != ""), F.struct("nth", F.col("first.source_ref").alias("ref"))))
-    out = by_ref.groupBy(*_KEYS).agg(F.min("seq").alias("seq"), F.min_by("first", "seq").alias("first"), refs.alias("refs"), (F.sum("total") / F.sum("n")).alias("confidence"))
+    out = by_ref.groupBy("h1", "h2").agg(F.min("first").alias("first"), refs.alias("refs"), (F.sum("total") / F.sum("n")).alias("confidence"))
     joined = F.array_join(F.transform(F.array_sort("refs"), lambda x: x["ref"]), ", ")
-    return out.select("seq", *(F.col(f"first.{c}").alias(c) for c in ("subject", "predicate", "object", "value", "unit", "timeframe")), joined.alias("source_ref"), "confidence")
+    return out.select("first.seq", *(F.col(f"first.{c}").alias(c) for c in texts[:-1]), joined.alias("source_ref"), "confidence")
 
 
 def edges(facts: DataFrame) -> DataFrame:
