@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import clean_entity, name_key, normalize_ws, query_tokens
-from factloom.session import cut, spread
+from factloom.session import cut
 
 
 def aliases_exact(facts: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def similar_keys(keys: DataFrame, threshold: int = 92) -> DataFrame:
                         out += [(k, s, False, m, i, x) for x in {s[p : p + size] for p in range(max(0, at - d), min(n - size, at + d) + 1)}]
             yield pd.DataFrame(out, columns=["key", "sorted", "own", "length", "part", "piece"])
 
-    rows = spread(keys.select("key")).mapInPandas(emit, "key string, sorted string, own boolean, length int, part int, piece string")
+    rows = keys.select("key").mapInPandas(emit, "key string, sorted string, own boolean, length int, part int, piece string")
     a = rows.where("own").select("length", "part", "piece", F.col("key").alias("a"), F.col("sorted").alias("sa"))
     b = rows.where("NOT own").select("length", "part", "piece", F.col("key").alias("b"), F.col("sorted").alias("sb"))
     ratio = F.pandas_udf(lambda x, y: pd.Series([indel_ratio(p, q) for p, q in zip(x, y)], dtype=float), "double")

@@ -44,7 +44,8 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """Repartition a scan of fewer partitions than there are cores before work that is heavy in Python.
 
-    A scan of many files already has more partitions than cores and passes unchanged, without a shuffle.
+    A scan of many files already has more partitions than cores and passes unchanged, without a shuffle. For scans and
+    checkpoints only: counting the partitions of a plan with exchanges would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * factor) if df.rdd.getNumPartitions() < cores else df
