@@ -1,8 +1,10 @@
 """Abusive, hateful or sexual content, by non-negative positive-unlabelled learning.
 
-One linear classifier of hashed word features for each category is fitted in numpy on the reviewed documents: the
-confirmed examples are positive, all other reviewed texts count as unlabelled. The risk of the unlabelled is
-corrected by the class prior and kept from going below zero. A document's score is that of its worst sentence.
+One linear classifier of hashed word features for each category is fitted in numpy: telling sentences of confirmed documents
+are positive, and the sentences of a sample of all documents are unlabelled, whatever their review says. The class prior is
+estimated from how often features of the positive sentences occur in the unlabelled ones, not from the number of labels, since
+reviewed documents hold more of such content than others do; the risk of the unlabelled is corrected by the prior and kept
+from going below zero. A document's score is that of its worst sentence.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from factloom.session import spread
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: At most so many reviewed documents are used for fitting, those of the smallest hash of doc_id.
 MOST_REVIEWED = 8_000
+#: The unlabelled sentences are those of at most so many documents, of the smallest seeded hash of doc_id among all documents with a text.
+MOST_UNLABELLED = 4_000
 BITS = 18
 
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
@@ -100,22 +104,22 @@ class Rows:
         return np.bincount(self.flat, weights=g[self.row] * self.value, minlength=len(self.names))
 
 
-def fit_nnpu(x: Rows, positive: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+def fit_nnpu(x: Rows, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 250, rate: float = 0.1, decay: float = 1e-6) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * R_p+ + max(0, R_u- - prior * R_p-) for the logistic loss, by Adam.
 
-    positive: weights of the rows as positive examples (0: not one); all rows count as unlabelled.
+    positive, unlabelled: weights of the rows in either sample (0: not in it).
     """
     w, bias = np.zeros(len(x.names)), -2.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     p = positive / max(positive.sum(), 1e-12)
-    u = np.full(x.n, 1 / max(x.n, 1))
+    u = unlabelled / max(unlabelled.sum(), 1e-12)
     for t in range(1, steps + 1):
         s = x.scores(w, bias)
         q = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        negative_risk = (u * np.logaddexp(0, s)).sum() - prior * (p * np.logaddexp(0, s)).sum()
+        loss = np.logaddexp(0, s)
         gp = prior * p * (q - 1)
         gn = u * q - prior * p * q
-        g = gp + gn if negative_risk >= 0 else -gn
+        g = gp + gn if (u * loss).sum() >= prior * (p * loss).sum() else -gn
         d, db = x.gradient(g) + decay * w, g.sum()
         m, v = 0.9 * m + 0.1 * d, 0.999 * v + 0.001 * d * d
         mb, vb = 0.9 * mb + 0.1 * db, 0.999 * vb + 0.001 * db * db
@@ -125,6 +129,20 @@ def fit_nnpu(x: Rows, positive: np.ndarray, prior: float, steps: int = 250, rate
     return w, bias
 
 
+def class_prior(x: Rows, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The estimated share of positives among the unlabelled rows, 0.5 at most.
+
+    A share p of the positives has a feature, so at least prior * p of the unlabelled have it: the prior is at most the ratio of
+    both shares, and the least ratio is taken. Features of few positives are held down by a standard error of their count.
+    """
+    n, m = positive.sum(), max(unlabelled.sum(), 1.0)
+    with_p = np.bincount(x.flat, weights=positive[x.row], minlength=len(x.names))
+    with_u = np.bincount(x.flat, weights=unlabelled[x.row], minlength=len(x.names))
+    sure = with_p - np.sqrt(with_p)
+    told = sure > 0
+    return float(min(0.5, ((with_u[told] + 1) / m / (sure[told] / n)).min(initial=0.5)))
+
+
 class Model:
     """A linear classifier for each category; scores are chances from 0 to 1."""
 
@@ -132,11 +150,12 @@ class Model:
         self.weights, self.biases = weights.astype(np.float32), biases
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], rounds: int = 2, telling: float = 0.3) -> Model:
+    def fit(cls, texts: list[str], labels: list[str], unlabelled: list[str], rounds: int = 2, telling: float = 0.3) -> Model:
         """Of a confirmed document the sentences that the last round scores highest are the positive examples.
 
         An example has a telling word: of the documents with that word, a share of `telling` at least are confirmed. A document without
-        one has a wrong label and gives no example.
+        one has a wrong label and gives no example. Sentences of reviewed documents without such content help to choose the
+        examples; the classifiers are fitted on the examples and the sentences of the unlabelled texts only.
         """
         rows, doc, plain = [], [], []
         for i, t in enumerate(texts):
@@ -148,36 +167,38 @@ class Model:
         documents_with: dict[str, Counter] = {c: Counter() for c in (*CATEGORIES, "none")}
         for i in range(len(texts)):
             documents_with[labels[i]].update(set().union(*plain[bisect_left(doc, i) : bisect_right(doc, i)]))
-        x, doc_of = Rows(rows), np.array(doc, np.int64)
+        doc_of = np.array(doc, np.int64)
         label_of = np.array(labels, object)[doc_of] if len(doc) else np.array([], object)
-        w, b = np.zeros((len(CATEGORIES), len(x.names))), np.full(len(CATEGORIES), -5.0)
         # a sentence that reviewed documents without such content share is no witness
-        clean = np.bincount(x.flat[np.isin(x.row, np.flatnonzero(label_of == "none"))], minlength=len(x.names))
-        rare = 1 / (1 + clean)
-        novelty = np.bincount(x.row, weights=rare[x.flat], minlength=x.n) / np.maximum(np.bincount(x.row, minlength=x.n), 1) if x.n else np.zeros(0)
+        clean = Counter(f for r, none in zip(rows, label_of == "none") if none for f in r)
+        novelty = np.array([sum(1 / (1 + clean[f]) for f in r) / max(len(r), 1) if none else 0.0 for r, none in zip(rows, label_of != "none")])
+        keep = np.flatnonzero(label_of != "none")
+        confirmed, doc_of, label_of, novelty = [rows[i] for i in keep], doc_of[keep], label_of[keep], novelty[keep]
+        plain = [plain[i] for i in keep]
+        every = np.zeros((len(CATEGORIES), 1 << BITS))
+        biases = np.full(len(CATEGORIES), -5.0)
+        if not confirmed:
+            return cls(every, biases)
+        others_rows = [features(plain_words(s)) for t in unlabelled for s in sentences(t)]
+        x, n = Rows(confirmed + others_rows), len(confirmed)
+        free = np.concatenate([np.zeros(n), np.ones(len(others_rows))])
         for k, c in enumerate(CATEGORIES):
-            of = label_of == c
-            if not of.any():
-                continue
             mine, others = documents_with[c], documents_with["none"]
-            told = np.array([o and any(mine[w] >= telling * (mine[w] + others[w]) for w in p) for o, p in zip(of, plain)], bool)
-            of = told
+            of = np.array([o and any(mine[w] >= telling * (mine[w] + others[w]) for w in p) for o, p in zip(label_of == c, plain)], bool)
             if not of.any():
                 continue
-            score = novelty.copy()
+            score = novelty
             for r in range(rounds):
                 best = np.full(len(texts), -np.inf)
                 np.maximum.at(best, doc_of[of], score[of])
                 witness = of & (score >= best[doc_of] - 1e-9)
                 if r and (witness & (score > -2.5)).any():
                     witness &= score > -2.5  # a wrong label has no sentence like those of other confirmed documents
-                weight = witness / np.maximum(np.bincount(doc_of[witness], minlength=len(texts)), 1)[doc_of]
-                prior = weight.sum() / x.n
-                w[k], b[k] = fit_nnpu(x, weight, prior)
-                score = x.scores(w[k], b[k])
-        every = np.zeros((len(CATEGORIES), 1 << BITS))
-        every[:, x.names] = w
-        return cls(every, b)
+                weight = np.concatenate([witness / np.maximum(np.bincount(doc_of[witness], minlength=len(texts)), 1)[doc_of], np.zeros(len(others_rows))])
+                w, biases[k] = fit_nnpu(x, weight, free, class_prior(x, weight, free))
+                score = x.scores(w, biases[k])[:n]
+            every[k, x.names] = w
+        return cls(every, biases)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """(texts, categories): of each text the highest chance of a sentence; 0 for null and blank texts."""
@@ -190,18 +211,21 @@ class Model:
         return out
 
 
-def review_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.2, most_reviewed: int = MOST_REVIEWED) -> DataFrame:
+def review_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.2, most_reviewed: int = MOST_REVIEWED, most_unlabelled: int = MOST_UNLABELLED) -> DataFrame:
     """(doc_id, source, abusive, hateful, sexual, category) of every document: a score from 0 to 1 for each category, and
     the category of the highest score if that reaches the threshold, else null.
 
-    labels: (doc_id, label) of reviewed documents; "none" and unknown labels count as unlabelled. The classifiers are
-    fitted on the driver on at most most_reviewed of these; every document is scored over its whole text. Null and blank
+    labels: (doc_id, label) of reviewed documents; "none" and unknown labels are no examples. The classifiers are fitted on the
+    driver on the confirmed of at most most_reviewed of these, and on at most most_unlabelled of all documents, taken
+    whatever their label; every document is scored over its whole text. Null and blank
     texts score 0; without a confirmed example nothing is found; repeated rows each give a row; an empty table gives none.
     """
     reviewed = labels.select("doc_id", F.lower(F.trim("label")).alias("label")).dropna().dropDuplicates(["doc_id"])
-    sample = documents.select("doc_id", "text").where("text IS NOT NULL").join(reviewed, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_reviewed).collect()
+    texts = documents.select("doc_id", "text").where("text IS NOT NULL")
+    sample = texts.join(reviewed, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_reviewed).collect()
     known = [r["label"] if r["label"] in CATEGORIES else "none" for r in sample]
-    model = documents.sparkSession.sparkContext.broadcast(Model.fit([r["text"] for r in sample], known))
+    other = [r["text"] for r in texts.orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(most_unlabelled).collect()]
+    model = documents.sparkSession.sparkContext.broadcast(Model.fit([r["text"] for r in sample], known, other))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value

@@ -296,6 +296,24 @@ def test_review_scores(spark):
     assert toxicity.review_scores(df.limit(0), lab).count() == 0
 
 
+def test_unlabelled_risk_is_kept_from_going_below_zero():
+    x = toxicity.Rows([[1, 3]] * 5 + [[2, 3]] * 40)
+    positive, unlabelled = np.array([1.0] * 5 + [0.0] * 40), np.array([0.0] * 5 + [1.0] * 40)
+    s = x.scores(*toxicity.fit_nnpu(x, positive, unlabelled, 0.5))
+    loss = np.logaddexp(0, s)
+    assert s[0] > s[-1] and loss[5:].mean() - 0.5 * loss[:5].mean() > -0.5  # without the bound it falls to -4 and on
+    same = toxicity.fit_nnpu(x, positive, np.ones(45), 0.5)
+    assert not np.allclose(x.scores(*same), s)
+
+
+def test_reviewed_documents_are_no_negative_rows():
+    bad, fine = "You are a worthless moron and everyone knows it.", "The board postponed the dividend."
+    texts, labels, others = [bad] * 6 + [fine] * 6, ["abusive"] * 6 + ["none"] * 6, [fine] * 30 + [bad]
+    a = toxicity.Model.fit(texts, labels, others)
+    b = toxicity.Model.fit(texts + [bad] * 6, labels + ["none"] * 6, others)  # missed by the review
+    np.testing.assert_allclose(a.score([bad, fine]), b.score([bad, fine]))
+
+
 # --- all
 
 
