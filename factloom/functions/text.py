@@ -169,11 +169,11 @@ def disk_size(n: Column) -> Column:
 
 def think_part(x: Column) -> Column:
     """What stands in <think> marks; an open mark reaches to the end."""
-    return F.trim(F.array_join(F.regexp_extract_all(blank(x), F.lit(r"(?is)<think>(.*?)(?:</think>|$)"), 1), "\n"))
+    return F.regexp_replace(F.array_join(F.regexp_extract_all(blank(x), F.lit(r"(?is)<think>(.*?)(?:</think>|\z)"), 1), "\n"), rf"\A{WS}+|{WS}+\z", "")
 
 
 def answer_part(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(blank(x), r"(?is)<think>.*?(?:</think>|$)", ""), "(?i)</think>", ""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(blank(x), r"(?is)<think>.*?(?:</think>|\z)", ""), "(?i)</think>", ""), rf"\A{WS}+|{WS}+\z", "")
 
 
 def is_model_error(x: Column) -> Column:

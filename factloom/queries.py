@@ -197,7 +197,7 @@ def disk_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def think_split(spark: SparkSession, d: str) -> DataFrame:
-    t = F.left(T.normalize_ws(F.col("text")), F.lit(40))
+    t = T.blank(F.col("text"))
     raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>"), t, F.lit("</think>Answer "), F.col("doc_id"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Answer "), F.col("doc_id"), F.lit(" <think>"), t)).otherwise(t)
     return documents(spark, d).select("doc_id", T.think_part(raw).alias("thinking"), T.answer_part(raw).alias("answer"))
 
