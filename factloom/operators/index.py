@@ -68,6 +68,34 @@ def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.select("qid", "pos", cosine(F.col("embedding"), F.col("query")).alias("score"))
 
 
+def dense_top(queries: DataFrame, vectors: DataFrame, n: int, digits: int | None = None, most: int = 2048) -> DataFrame:
+    """(qid, pos, score) that hold the n best of every query, for any number of queries (qid, query): all are compared with all
+    (pos, embedding) of the same length, each pair of blocks of about `most` rows by a matrix product that keeps the n best.
+
+    Equal scores, after rounding to so many digits, go to the smaller position. Vectors hold no nulls.
+    """
+    a, b = queries.where("query IS NOT NULL"), vectors.where("embedding IS NOT NULL")
+    na, nb = (max(1, -(-df.count() // most)) for df in (a, b))
+    block = lambda k, of: F.pmod(F.xxhash64(k), F.lit(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    a = a.select("qid", "query", F.size("query").alias("dim"), block("qid", na).alias("qb"), each(nb).alias("vb"))
+    b = b.select("pos", "embedding", F.size("embedding").alias("dim"), block("pos", nb).alias("vb"), each(na).alias("qb"))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"qid": [], "pos": [], "score": []})
+        p, q = np.stack(y["embedding"].to_numpy()).astype(float), np.stack(x["query"].to_numpy()).astype(float)
+        score = (p @ q.T / (np.linalg.norm(p, axis=1)[:, None] * (np.linalg.norm(q, axis=1) + 1e-8) + 1e-8)).T
+        key = score if digits is None else np.floor(score * 10**digits + 0.5)
+        pos = y["pos"].to_numpy()
+        best = np.stack([np.lexsort((pos, -k))[:n] for k in key])
+        return pd.DataFrame({"qid": np.repeat(x["qid"].to_numpy(), best.shape[1]), "pos": pos[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+
+    keys = ["dim", "qb", "vb"]
+    kind = queries.schema["qid"].dataType.simpleString()
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, f"qid {kind}, pos long, score double")
+
+
 def top(scores: DataFrame, n: int, by: tuple[str, ...] = ("pos",)) -> DataFrame:
     """The n best rows of each question with their rank; of equal scores the smaller position comes first."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), *by)

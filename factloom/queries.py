@@ -401,8 +401,8 @@ def bm25_top(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dense_top(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
-    q = e.where("pos < 8").select(F.col("pos").alias("qid"), F.col("embedding").alias("query"))
-    return index.top(index.dense_scores(q, e).withColumn("score", _r("score")), 16).select("qid", "pos", "score", _n(F.col("rank")).alias("rank"))
+    q = e.where("pos % 20 = 0").select(F.col("pos").alias("qid"), F.col("embedding").alias("query"))
+    return index.top(index.dense_top(q, e, 16, 6).withColumn("score", _r("score")), 16).select("qid", "pos", "score", _n(F.col("rank")).alias("rank"))
 
 
 @query
@@ -437,8 +437,8 @@ def blended_scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def diverse_choice(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
-    q = e.where("pos < 8").select(F.col("pos").cast("int").alias("qid"), F.col("embedding").alias("query"))
-    scored = index.top(index.dense_scores(q, e), 24).select("qid", "pos", "score")
+    q = e.where("pos % 20 = 0").select(F.col("pos").cast("int").alias("qid"), F.col("embedding").alias("query"))
+    scored = index.top(index.dense_top(q, e, 24), 24).select("qid", "pos", "score")
     none = scored.limit(0).select("qid", F.lit("").alias("anchor"), "pos", "score")
     return retrieval.select_diverse(scored, e, none).select("qid", "pos", _r("score").alias("score"), "rank")
 

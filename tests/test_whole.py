@@ -1,6 +1,9 @@
 """Queries do the whole job: their results hold what a smaller limit would drop."""
 
+import numpy as np
+
 from factloom import queries as core
+from factloom.operators import index
 
 
 def test_think_split_keeps_whole_texts(spark, tmp_path):
@@ -9,3 +12,20 @@ def test_think_split_keeps_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["thinking"], r["answer"]) for r in core.queries()["think_split"](spark, str(tmp_path)).collect()}
     assert got == {0: (long, "Answer 0"), 1: (long, "Answer 1"), 2: ("deep\nthought", "said " * 20 + " end"), 3: ("", "Answer 3"), 4: (long, "Answer 4")}
+
+
+def test_every_twentieth_vector_is_a_query(spark, tmp_path):
+    v = np.random.default_rng(1).normal(size=(61, 8)).astype("float32")
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    w = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = {q: np.argsort(-(w @ w[q]))[:16].tolist() for q in (0, 20, 40, 60)}
+    got = {}
+    for r in core.queries()["dense_top"](spark, str(tmp_path)).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["pos"])
+    assert got == want
+    assert {r["qid"] for r in core.queries()["diverse_choice"](spark, str(tmp_path)).collect()} == set(want)
+    e = e.withColumnRenamed("vec_id", "pos")
+    q = e.where("pos % 20 = 0").selectExpr("pos AS qid", "embedding AS query")
+    blocks = index.top(index.dense_top(q, e, 16, most=7), 16).orderBy("qid", "rank").collect()
+    assert [r["pos"] for r in blocks] == sum(want.values(), [])
