@@ -234,7 +234,7 @@ def main_answers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def slim_contexts(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("chunk_id", T.slim_context(F.col("text"), 300, 5).alias("slim"))
+    return chunks(spark, d).select("chunk_id", T.slim_context(F.col("text")).alias("slim"))
 
 
 # --- chunks

@@ -14,6 +14,15 @@ def test_think_split_keeps_whole_texts(spark, tmp_path):
     assert got == {0: (long, "Answer 0"), 1: (long, "Answer 1"), 2: ("deep\nthought", "said " * 20 + " end"), 3: ("", "Answer 3"), 4: (long, "Answer 4")}
 
 
+def test_contexts_keep_what_the_limits_of_the_reference_allow(spark, tmp_path):
+    text = "\n".join(f"line {i} " + "x" * 60 for i in range(18))
+    words = "word " * 1000  # 1,330 tokens a line
+    spark.createDataFrame([("retrieval", "s", "a", text), ("retrieval", "t", "b", words), ("retrieval", "t", "c", words), ("retrieval", "t", "d", words), ("retrieval", "t", "e", words)], "track string, source_id string, chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(i, c) for i, c in enumerate("abcde")], "pos long, chunk_id string").write.parquet(f"{tmp_path}/index_vectors.parquet")
+    slim = {r["chunk_id"]: r["slim"] for r in core.queries()["slim_contexts"](spark, str(tmp_path)).collect()}
+    assert slim["a"] == text and slim["b"] == words[:1800]
+
+
 def test_every_twentieth_vector_is_a_query(spark, tmp_path):
     v = np.random.default_rng(1).normal(size=(61, 8)).astype("float32")
     e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
