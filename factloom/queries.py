@@ -510,7 +510,7 @@ def judge_contexts(spark: SparkSession, d: str) -> DataFrame:
 def packed_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval chunks of each source as lines, packed up to a budget."""
     c = retrieval_chunks(spark, d).select(F.col("source_id").alias("qid"), F.col("pos").alias("rank"), T.normalize_ws(F.col("text")).alias("line"))
-    return grounding.pack_context(c, 1200).select("qid", "rank", _n(F.col("used")).alias("used"))
+    return grounding.pack_context(c).select("qid", "rank", _n(F.col("used")).alias("used"))
 
 
 @query

@@ -21,6 +21,8 @@ def test_contexts_keep_what_the_limits_of_the_reference_allow(spark, tmp_path):
     spark.createDataFrame([(i, c) for i, c in enumerate("abcde")], "pos long, chunk_id string").write.parquet(f"{tmp_path}/index_vectors.parquet")
     slim = {r["chunk_id"]: r["slim"] for r in core.queries()["slim_contexts"](spark, str(tmp_path)).collect()}
     assert slim["a"] == text and slim["b"] == words[:1800]
+    packed = core.queries()["packed_contexts"](spark, str(tmp_path)).where("qid = 't'").collect()
+    assert sorted(r["used"] for r in packed) == [1330, 2660, 3990]  # the fourth line would be 5,320
 
 
 def test_every_twentieth_vector_is_a_query(spark, tmp_path):
