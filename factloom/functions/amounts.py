@@ -26,7 +26,7 @@ def states_amount(text: Column) -> Column:
 ALIASES: dict[str, tuple[str, ...]] = {
     "EUR": ("eur", "euro", "euros", "€"),
     "USD": ("usd", "us$", "us dollar", "us dollars", "dollar", "dollars", "$"),
-    "GBP": ("gbp", "pound sterling", "pounds sterling", "£"),
+    "GBP": ("gbp", "pound sterling", "pounds sterling", "£", "pound", "pounds"),
     "DKK": ("dkk", "danish krone", "danish kroner", "kroner"),
     "kg": ("kg", "kilo", "kilos", "kilogram", "kilograms", "kilogramme", "kilogrammes"),
     "t": ("t", "tonne", "tonnes", "metric ton", "metric tons", "ton", "tons"),
@@ -119,10 +119,13 @@ def numbers(text: str) -> list[Number]:
 
 
 class UnitReader:
-    """Finds units of one set of base codes beside a number or in a text of its own."""
+    """Finds units of a set of base codes beside a number or in a text of its own. A spelling may stand for several units."""
 
     def __init__(self, codes: Iterable[str]):
-        self.base_of = {a: c for c in codes for a in ALIASES.get(c, (c.lower(),))}
+        self.base_of: dict[str, list[str]] = {}
+        for c in codes:
+            for a in ALIASES.get(c, (c.lower(),)):
+                self.base_of.setdefault(a, []).append(c)
         base = "|".join(re.escape(a) for a in sorted(self.base_of, key=len, reverse=True))
         scale = "|".join(re.escape(a) for a in sorted(_SCALE_OF, key=len, reverse=True))
         stop = r"(?![^\W_])"
@@ -131,28 +134,29 @@ class UnitReader:
         self.scale = re.compile(rf"\s*(?P<s>{scale}){stop}")
         self.before = re.compile(rf"(?<![^\W_])(?P<b>{base})\s*$")
 
-    def _unit(self, scale: str | None, base: str | None) -> Unit:
-        return Unit(_SCALE_OF[scale][0] if scale else "", self.base_of[base] if base else "")
+    def _units(self, scale: str | None, base: str) -> list[Unit]:
+        found = [Unit(_SCALE_OF[scale][0] if scale else "", b) for b in self.base_of[base]]
+        return found + [Unit(_SCALE_OF[base][0], "")] if base in _SCALE_OF and not scale else found  # m: metres or millions
 
-    def beside(self, before: str, after: str) -> Unit | None:
-        """The unit right after a number (texts in lower case), or the currency before it with the scale after it."""
+    def beside(self, before: str, after: str) -> list[Unit]:
+        """The units that may stand right after a number (texts in lower case), or the currency before it with the scale after it."""
         b = self.before.search(before[-24:])
         m = self.after.match(after)
         if m and not (b and m["b"] in _SCALE_OF):
-            return self._unit(m["s1"] or m["s2"], m["b"])
+            return self._units(m["s1"] or m["s2"], m["b"])
         m = self.joined.match(after)
         if m and m["b"] in self.base_of:
-            return self._unit(m["s2"], m["b"])
+            return self._units(m["s2"], m["b"])
         s = self.scale.match(after)
         if b:
-            return self._unit(s["s"] if s else None, b["b"])
-        return Unit(_SCALE_OF[s["s"]][0], "") if s else None
+            return [Unit(_SCALE_OF[s["s"]][0] if s else "", c) for c in self.base_of[b["b"]]]
+        return [Unit(_SCALE_OF[s["s"]][0], "")] if s else []
 
-    def alone(self, text: str) -> Unit | None:
-        """The unit that a whole text (in lower case) is."""
+    def alone(self, text: str) -> list[Unit]:
+        """The units that a whole text (in lower case) may be."""
         text = text.strip(" \t\n\"'“”*<>.!,;") if not text.strip().startswith(("'000", "’000")) else text.strip()
         for rx in (self.after, self.joined):
             m = rx.fullmatch(text)
             if m and m["b"] in self.base_of:
-                return self._unit(m["s2"] or m.groupdict().get("s1"), m["b"])
-        return Unit(_SCALE_OF[text][0], "") if text in _SCALE_OF else None
+                return self._units(m["s2"] or m.groupdict().get("s1"), m["b"])
+        return [Unit(_SCALE_OF[text][0], "")] if text in _SCALE_OF else []
