@@ -11,7 +11,7 @@ from factloom.llm.dedup import formatting_duplicates
 from factloom.llm.names import entity_spellings, spelling_pairs
 from factloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from factloom.llm.packing import document_containers
-from factloom.llm.scans import page_noise
+from factloom.llm.scans import page_noise, repaired_texts
 from factloom.llm.survivors import surviving_fields
 from factloom.llm.tokens import token_ids
 from factloom.llm.toxicity import review_scores, source_rates
@@ -29,6 +29,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return page_noise(table(spark, d, "chunks"))
 
 
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    return repaired_texts(table(spark, d, "chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "facts")
     names = facts.select(F.explode(F.array("subject", "object")).alias("name"))
@@ -72,7 +76,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_found, p7_shares, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_text, p3_found, p4_found, p6_found, p7_found, p7_shares, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)}
 
 
 _AMOUNT = r"(?i)^[\s\p{Z}'“”*<(\[]*(?:(?:about|approximately|approx\.|approx|around|roughly|circa|ca\.|c\.|nearly|almost|some|~|≈|put at|amounting to)\s*)*[(]?\s*(?:us\$|\p{Sc}|\b(?:eur|usd|gbp|dkk)\b)?\s*[-+−]?\s*(?:us\$|\p{Sc}|\b(?:eur|usd|gbp|dkk)\b)?\s*[.,]?\d"

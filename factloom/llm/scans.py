@@ -1,246 +1,350 @@
-"""Noise in text from scanned pages: page furniture, words broken at line ends, misread words and years.
+"""Noise in text from scanned pages: page furniture, words broken at line ends, misread words and years; and its repair.
 
-Every form of a word is counted over all pages. Rare forms are looked up in tries of the frequent ones, by Levenshtein
-automata over skeletons in which characters that scanners confuse are one; the neighbouring words rank what is found.
+Every form of a word is counted over all pages. Rare forms, and forms with odd characters, are looked up in a trie of all
+words by Levenshtein automata, in which the confusions of scanners are free and other edits are bounded by the length of the
+form. What is found is ranked by the neighbouring words, the weight of the edits and the frequency. Counting and splitting are
+column expressions; only the automata and the last step of the repair run in Python.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.names import Trie
+from factloom.llm.tries import trie_join
 from factloom.session import cut, spread
 
-#: Characters that scanners confuse, as one; and pairs that look like one character (after the single ones are replaced).
-_ONE = str.maketrans({"1": "l", "i": "l", "|": "l", "!": "l", "0": "o", "@": "a", "6": "b", "h": "b", "5": "s", "$": "s", "ı": "r", "c": "e", "f": "t", "q": "g", "9": "g", "8": "b", "ﬁ": "tl", "ﬂ": "tl", "ﬀ": "tt", "ﬃ": "ttl", "ﬄ": "ttl"})
-_TWO = (("rn", "m"), ("rl", "n"), ("el", "d"), ("ll", "u"), ("vv", "w"))
+#: What a character, or two, that a scanner gives may stand for: the usual confusions of print, as cheap edits.
+FOLD = {
+    "1": "li", "l": "i1", "i": "l1", "|": "li", "!": "li", "0": "o", "o": "0", "@": "a", "6": "bh", "h": "b", "b": "h", "8": "b", "5": "s", "$": "s",
+    "ı": "rit", "e": "c", "c": "e", "f": "t", "t": "f", "q": "g", "9": "g", "g": "q",
+}
+PAIRS = {"rn": "m", "ri": "n", "rl": "n", "r1": "n", "cl": "d", "c1": "d", "ii": "u", "il": "u", "li": "u", "ll": "u", "vv": "w", "ıi": "n", "ın": "m"}
+#: The two characters that one may stand for.
+SPLIT = {"d": ("cl",), "m": ("rn",), "w": ("vv",)}
 _EDGE = " \t\r.,;:()[]{}\"'“”‘’«»|–—-¬­!?*…"
-_PLAIN = re.compile(r"[^\W\d_ı]+(?:[-'’/][^\W\d_ı]+)*")
-_LIGATURE = re.compile("[ﬀ-ﬆ]")
-_NUMBER_LIKE = re.compile(r"[\dlIOo|,.%/$€£-]*\d[\dlIOo|,.%/$€£-]*")
-_YEAR = re.compile(r"[1lI|][9g][\dlIOoSB]{2}|2[0oO][\dlIOoSB]{2}|[1lI|]9[\dlIOoSB]{2}")
-_YEAR_DIGITS = str.maketrans({"l": "1", "I": "1", "|": "1", "O": "0", "o": "0", "S": "5", "B": "8", "g": "9"})
-_BROKEN = re.compile(r"(\S*[\w@])([-­¬])[ \t]*\n[ \t]*([\w@]\S*)")
-_BROKEN_FLAT = re.compile(r"(\S*[\w@])([-­¬]) ([a-zß-ÿ@0-9ıﬀ-ﬆ]\S*)")
-_PAGE_NUMBER = re.compile(r"\s*(?:[-–—\[(]\s*)?(?:p(?:age|aqe|agc|\.)?\s*)?(?=[\dlIOo|]*[\dlIO])[\dlIOo|]{1,4}(?:\s*(?:of|ot|/)\s*[\dlIOo|]{1,4})?(?:\s*[-–—\])])?\s*", re.I)
-_TABLE = re.compile(r"\D*\d[\d.,]*\s+\d[\d.,]*\s*")
-_HEADING = re.compile(r"\s*\d+(?:\.\d+)+\s")
-
-
-def skeleton(form: str) -> str:
-    s = form.replace("ii", "u").translate(_ONE)
-    for a, b in _TWO:
-        s = s.replace(a, b)
-    return s
-
-
-def words_of(line: str) -> list[str]:
-    """The tokens of a line in lower case without outer punctuation."""
-    return [w for t in line.split() if (w := t.strip(_EDGE).lower())]
-
-
-def line_key(line: str) -> str:
-    """A line without page number, spaces and confusions, to compare running heads; empty for headings and table rows."""
-    if _HEADING.match(line) or _TABLE.fullmatch(line) or len(line) > 80:
-        return ""
-    kept = [t for t in re.split(r"[\s|–—]+", line) if t and not re.fullmatch(r"(?i)[\dlIOo|.\[\]()-]{1,6}|p(?:age|\.)", t)]
-    letters = "".join(c for c in "".join(kept).lower() if c.isalpha())
-    return letters.translate(str.maketrans({"f": "e", "c": "e", "i": "l", "ı": "r", "t": "e", "h": "b", "q": "g", "o": "a"})) if len(letters) >= 5 else ""
-
-
-def edge_lines(lines: list[str]) -> tuple[list[int], list[int]]:
-    """Places of the first two and the last three lines that aren't blank."""
-    full = [i for i, x in enumerate(lines) if x.strip()]
-    return full[:2], full[-3:]
-
-
-def furniture(lines: list[str], running: set[str], top: bool, bottom: bool) -> list[int]:
-    """Places of running heads, running feet and page numbers. top, bottom: whether the text begins and ends with its page."""
-    if len(lines) < 2:
-        return []
-    first, last = edge_lines(lines)
-    out = []
-    for i in sorted({*(first if top else []), *(last if bottom else [])}):
-        key = line_key(lines[i])
-        if (key and key in running) or (_PAGE_NUMBER.fullmatch(lines[i]) and (i in first[:1] and top or i in last[-2:] and bottom)):
-            out.append(i)
-    return out
-
-
-_MAY_BREAK = re.compile(r"[\w@](?:[-­¬][ \t]*\n|[-­¬] )")
-
-
-def unbroken(text: str) -> str:
-    """The text without the words that are broken in it."""
-    return _BROKEN_FLAT.sub(" ", _BROKEN.sub(" ", text)) if _MAY_BREAK.search(text) else text
-
-
-def breaks(text: str) -> list[tuple[str, str, str]]:
-    """(how, joined word, the word with its hyphen) of the words broken at line ends; how: soft, hard or flat."""
-    out: list[tuple[str, str, str]] = []
-    if not _MAY_BREAK.search(text):
-        return out
-    for rx, flat in ((_BROKEN, False), (_BROKEN_FLAT, True)):
-        for m in rx.finditer(text):
-            left, right = m[1].lstrip(_EDGE).lower(), m[3].rstrip(_EDGE).lower()
-            if left and right and any(c.isalpha() for c in left) and any(c.isalpha() for c in right):
-                out.append(("soft" if m[2] != "-" else "flat" if flat else "hard", left + right, f"{left}-{right}"))
-    return out
-
-
-def page_forms(text: str) -> tuple[set[str], set[str]]:
-    """(forms of the words of a page, joined forms of its broken words)."""
-    joined = {j for _, j, _ in breaks(text)}
-    forms = {t.strip(_EDGE).lower() for t in set(unbroken(text).split())} - {""}
-    return {w for w in forms if not w.isdigit() and not _NUMBER_LIKE.fullmatch(w)}, joined
-
-
-def is_plain(form: str) -> bool:
-    return bool(_PLAIN.fullmatch(form)) and not _LIGATURE.search(form)
-
-
-def _candidates(vocabulary: pd.DataFrame, asked: pd.DataFrame, short_ratio: float, long_ratio: float) -> pd.DataFrame:
-    """(form, right, distance, pages) of all words near the asked forms that are so much more frequent."""
-    by: dict[str, list[tuple[str, int]]] = {}
-    for w, n in zip(vocabulary["form"], vocabulary["n"]):
-        by.setdefault(skeleton(w), []).append((w, n))
-    trie = Trie(list(by))
-    out = []
-    for f, n in zip(asked["form"], asked["n"]):
-        s = skeleton(f)
-        plain = is_plain(f)
-        for t, d in trie.near(s, 0 if plain or len(s) < 6 else 1):
-            for w, m in by[t]:
-                ratio = (long_ratio if len(f) > 7 else short_ratio) if plain else 0
-                if w != f and m >= max(1, ratio * n):
-                    out.append((f, w, d, m))
-    return pd.DataFrame(out, columns=["form", "right", "distance", "pages"])
-
-
-def page_noise(chunks: DataFrame, frequent_share: float = 0.005, running_share: float = 0.12, words_per_trie: int = 50_000) -> DataFrame:
-    """(chunk_id, kind, item), without repetition: see TESTDATA.md, p2_found.
-
-    Lines: at the top and the bottom of pages, page numbers and lines that at least running_share of the source's pages with
-    short lines (two at least) have there, but for numbers and confused characters. Words: joined ones, unless the
-    hyphenated form is more frequent; and forms with odd characters or far rarer than a word of the same skeleton. Chunks
-    with null text or id give nothing; chunks delivered twice count once in the result; an empty table gives no rows.
-    frequent_share: words on more pages than this are right; they are 1 / frequent_share times the words of a page at most.
+_LETTER = r"[\p{L}&&[^ıﬀ-ﬆ]]"
+_PLAIN = rf"^{_LETTER}+(?:[-'’/]{_LETTER}+)*$"
+_NUMBER_LIKE = r"^[\dlIOo|,.%/$€£-]*\d[\dlIOo|,.%/$€£-]*$"
+_YEAR = r"^(?:[1lI|][9g][\dlIOoSB]{2}|2[0oO][\dlIOoSB]{2})$"
+_ENDS_BROKEN = r"(?U)(\S*[\w@])([-­¬])[ \t]*$"
+_BEGINS = r"(?U)^[ \t]*([\w@]\S*)"
+_FLAT = r"(?U)(\S*[\w@])([-­¬]) ([a-zß-ÿ@0-9ıﬀ-ﬆ]\S*)"
+_BROKEN = r"(?U)\S*[\w@][-­¬][ \t]*\n[ \t]*[\w@]\S*"
+_MAY_BREAK = r"[-­¬](?:[ \t]*\n| )"
+_PAGE_NUMBER = r"(?i)^\s*(?:[-–—\[(]\s*)?(?:p(?:age|aqe|agc|\.)?\s*)?(?=[\dlIOo|]*[\dlIO])[\dlIOo|]{1,4}(?:\s*(?:of|ot|/)\s*[\dlIOo|]{1,4})?(?:\s*[-–—\])])?\s*$"
+_TABLE = r"^\D*\d[\d.,]*\s+\d[\d.,]*\s*$"
+_HEADING = r"^\s*\d+(?:\.\d+)+\s"
+#: Tables up to this size are broadcast.
+MOST_BROADCAST = 200_000
+
+
+def word(token: Column) -> Column:
+    """A token without outer punctuation."""
+    return F.btrim(token, F.lit(_EDGE))
+
+
+def words(line: Column) -> Column:
+    return F.filter(F.transform(F.split(line, r"\s+"), word), lambda w: w != "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: a column named in a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_neighbours(xs: Column, name: str) -> Column:
+    """An array of structs: each element, the one before and the one after it (empty where there is none)."""
+    at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+    return let(xs, lambda a: F.transform(a, lambda x, i: F.struct(x.alias(name), at(a, i - 1).alias("before"), at(a, i + 1).alias("after"))))
+
+
+def is_plain(form: Column) -> Column:
+    return form.rlike(_PLAIN)
+
+
+def line_key(line: Column) -> Column:
+    """A line without page number, spaces and confusions, to compare running heads; null for headings, table rows and short lines."""
+    x = F.concat(F.lit(" "), F.regexp_replace(line, r"[\s|–—]+", "  "), F.lit(" "))
+    x = F.regexp_replace(x, r"(?i) (?:[\dlIOo|.\[\]()-]{1,6}|page|p\.) ", " ")
+    x = F.translate(F.regexp_replace(F.lower(x), r"\P{L}+", ""), "fciıthqo", "eelrebga")
+    return F.when(~line.rlike(_HEADING) & ~line.rlike(_TABLE) & (F.length(x) >= 5), F.xxhash64(x))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table, for a broadcast join if it is small, else as it is."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def edit_weight(form: str, right: str) -> float:
+    """The weighted edits that make a form of a word: 0.25 for a confusion, 1 for any other."""
+    n, m = len(form), len(right)
+    rows = [[0.0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if not (i or j):
+                continue
+            best = float(i + j)
+            if i:
+                best = min(best, rows[i - 1][j] + 1)
+            if j:
+                best = min(best, rows[i][j - 1] + 1)
+            if i and j:
+                a, b = form[i - 1], right[j - 1]
+                best = min(best, rows[i - 1][j - 1] + (0.0 if a == b else 0.25 if b in FOLD.get(a, "") else 1.0))
+                if i > 1 and b in PAIRS.get(form[i - 2 : i], ""):
+                    best = min(best, rows[i - 2][j - 1] + 0.25)
+                if j > 1 and right[j - 2 : j] in SPLIT.get(a, ()):
+                    best = min(best, rows[i - 1][j - 2] + 0.25)
+                if i > 1 and j > 1 and a == right[j - 2] and form[i - 2] == b:
+                    best = min(best, rows[i - 2][j - 2] + 1)
+            rows[i][j] = best
+    return rows[n][m]
+
+
+def readings(form: str) -> list[str]:
+    """A form with ligatures taken apart, and the forms in which one of its characters is read as two."""
+    form = unicodedata.normalize("NFKC", form)
+    return [form, *(form[:i] + two + form[i + 1 :] for i, c in enumerate(form) for two in SPLIT.get(c, ()))]
+
+
+def furniture(rows: DataFrame, running_share: float, top: int, bottom: int) -> DataFrame:
+    """(chunk_id, line) of running heads, running feet and page numbers; lines count from 1.
+
+    They stand among the first `top` and last `bottom` lines of a page that aren't blank. A running line is one that
+    at least running_share of the source's pages in short lines (two at least) have there, but for numbers and confused characters. No text is
+    shuffled: only the keys of these lines are.
     """
-    rows = chunks.where("text IS NOT NULL AND chunk_id IS NOT NULL").select("chunk_id", "track", "source_id", F.col("page_or_doc_idx").alias("page"), "char_start", "char_end", "text")
-    pages = spread(rows.select("track", "source_id", "text"))  # both tracks: a page may lack the chunk that holds it whole
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forms: Counter[str] = Counter()
-        pairs: Counter[tuple[str, str]] = Counter()
+    full = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("x"))), lambda s: s["x"].rlike(r"\S"))
+    ends = lambda a, n, at: F.transform(F.slice(a, 1, n), lambda x, i: F.struct(x["line"].alias("line"), x["x"].alias("x"), F.lit(at).alias("at"), i.alias("i")))
+    pages = rows.where(F.col("text").contains("\n")).select("chunk_id", "source_id", "page", "char_start", "char_end", F.explode(let(full, lambda a: F.concat(ends(a, top, "top"), ends(F.reverse(a), bottom, "bottom")))).alias("e"))
+    outer = F.when(F.col("e.at") == "top", F.col("e.i") < 1).otherwise(F.col("e.i") < 2)
+    edges = pages.select("chunk_id", "source_id", "page", "char_start", "char_end", "e.line", "e.at", line_key(F.col("e.x")).alias("key"), (F.length("e.x") <= 80).alias("short"), (outer & F.col("e.x").rlike(_PAGE_NUMBER)).alias("number"))
+    edges = cut(edges).where("key IS NOT NULL OR number")
+    # a text begins its page if nothing stands before it, and ends it if no text of the page reaches further
+    extent = rows.groupBy("source_id", "page").agg(F.max("char_end").alias("page_end"))
+    edges = edges.join(extent, ["source_id", "page"], "left")
+    at_top, at_bottom = F.coalesce("char_start", F.lit(0)) == 0, F.coalesce(F.col("char_end") >= F.col("page_end"), F.lit(True))
+    edges = cut(edges.where(F.when(F.col("at") == "top", at_top).otherwise(at_bottom)).select("chunk_id", "source_id", "page", "line", "key", "short", "number"))
+    keyed = edges.where("key IS NOT NULL").select("source_id", "page", "key").distinct()
+    times = keyed.groupBy("source_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    all_pages = edges.where("key IS NOT NULL AND short").select("source_id", "page").distinct().groupBy("source_id").agg(F.count(F.lit(1)).alias("pages"))
+    running = times.join(all_pages, "source_id").where((F.col("n") >= 2) & (F.col("n") >= running_share * F.col("pages"))).select("source_id", "key")
+    found = edges.join(_small(running), ["source_id", "key"], "left_semi").select("chunk_id", "line")
+    return found.unionByName(edges.where("number").select("chunk_id", "line")).distinct()
+
+
+def forms_counted(rows: DataFrame) -> DataFrame:
+    """(form, n, plain): on how many texts each form of a word stands, words that are broken in two left out."""
+    t = F.col("text")
+    whole = F.when(t.rlike(_MAY_BREAK), F.regexp_replace(F.regexp_replace(t, _BROKEN, " "), _FLAT, " ")).otherwise(t)
+    each = rows.select(F.explode(F.array_distinct(F.transform(F.split(F.lower(whole), r"\s+"), word))).alias("form"))
+    forms = each.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where((F.col("form") != "") & ~F.col("form").rlike(_NUMBER_LIKE))
+    return forms.withColumn("plain", is_plain(F.col("form")))
+
+
+def suspects(rows: DataFrame, usual: DataFrame) -> DataFrame:
+    """(chunk_id, line, kind, form, alt, before, after) of what may be noise within a text.
+
+    kind: form (a word that isn't usual), year (a misread one), or how a word is broken: soft, hard (at a line's end) and flat
+    (before a space); alt is a broken word with its hyphen. usual: a table of one column f.
+    """
+    each = rows.select("chunk_id", F.posexplode(with_neighbours(F.split("text", "\n"), "x")).alias("i", "s"))
+    each = each.select("chunk_id", (F.col("i") + 1).alias("line"), "s.x", F.col("s.before").alias("prev"), F.col("s.after").alias("next")).where("x != ''")
+    goes_on = F.col("x").rlike(r"[-­¬][ \t]*$") & F.col("x").rlike(_ENDS_BROKEN) & F.col("next").rlike(_BEGINS)
+    begun = F.col("prev").rlike(r"[-­¬][ \t]*$") & F.col("prev").rlike(_ENDS_BROKEN) & F.col("x").rlike(_BEGINS)
+    has_flat = F.col("x").rlike("[-­¬] ")
+    part = lambda x: F.lower(word(x))
+    left_of, right_of = F.ltrim(F.lower(F.regexp_extract("x", _ENDS_BROKEN, 1)), F.lit(_EDGE)), F.rtrim(F.lower(F.regexp_extract("next", _BEGINS, 1)), F.lit(_EDGE))
+    kind = F.when(F.regexp_extract("x", _ENDS_BROKEN, 2) == "-", "hard").otherwise("soft")
+    end = each.where(goes_on).select("chunk_id", "line", kind.alias("kind"), left_of.alias("l"), right_of.alias("r"))
+    flat = each.where(has_flat).select("chunk_id", "line", F.explode(F.regexp_extract_all("x", F.lit(_FLAT), 0)).alias("m"))
+    flat = flat.select("chunk_id", "line", F.when(F.regexp_extract("m", _FLAT, 2) == "-", "flat").otherwise("soft").alias("kind"), F.ltrim(F.lower(F.regexp_extract("m", _FLAT, 1)), F.lit(_EDGE)).alias("l"), F.rtrim(F.lower(F.regexp_extract("m", _FLAT, 3)), F.lit(_EDGE)).alias("r"))
+    broken = end.unionByName(flat).where(F.col("l").rlike(r"\p{L}") & F.col("r").rlike(r"\p{L}"))
+    broken = broken.select("chunk_id", "line", "kind", F.concat("l", "r").alias("form"), F.concat_ws("-", "l", "r").alias("alt"), F.lit("").alias("before"), F.lit("").alias("after"))
+    x = F.when(goes_on, F.regexp_replace("x", _ENDS_BROKEN, "")).otherwise(F.col("x"))
+    x = F.when(begun, F.regexp_replace(x, _BEGINS, "")).otherwise(x)
+    x = F.when(has_flat, F.regexp_replace(x, _FLAT, " ")).otherwise(x)
+    raw = each.select("chunk_id", "line", F.explode(with_neighbours(words(x), "w")).alias("t"))
+    raw = raw.select("chunk_id", "line", "t.w", F.lower("t.w").alias("f"), F.lower("t.before").alias("before"), F.lower("t.after").alias("after")).join(usual, "f", "left_anti")
+    year = (F.length("w") == 4) & F.col("w").rlike(_YEAR)
+    raw = raw.where(~F.col("w").rlike(r"^\d+$") & (year | ~F.col("w").rlike(_NUMBER_LIKE)))
+    # the case of a year's letters matters
+    raw = raw.select("chunk_id", "line", F.when(year, "year").otherwise("form").alias("kind"), F.when(year, F.col("w")).otherwise(F.col("f")).alias("form"), F.lit("").alias("alt"), "before", "after")
+    return broken.unionByName(raw)
+
+
+def candidates(forms: DataFrame, asked: DataFrame, short_ratio: float, long_ratio: float) -> DataFrame:
+    """(form, right, pages, distance, weight, sure) of the words that an asked form may be a misreading of.
+
+    forms (form, n, plain), asked (form, n, plain). Words are kept in tries by powers of four of their frequency, so a form is
+    looked up only among words that are frequent enough: short_ratio or long_ratio times (8 letters and more), or any for forms with odd
+    characters. Bounded edits beside confusions: 0 up to 3 letters, 1 up to 7, then 2. Sure: confusions only, or one
+    more edit in a longer form with odd characters; other candidates need neighbours that speak for them, 50 times the frequency,
+    and a form that isn't the beginning or end of the word, as pieces of words are.
+    """
+    tier = lambda n: F.floor(F.log(4.0, n.cast("double")) + 1e-9).cast("int")
+    known = forms.where("plain AND n > 0").select("form", "n", tier(F.col("n")).alias("tier"))
+    most = known.agg(F.max("tier")).first()[0]
+    most = 0 if most is None else most
+    ratio = F.when(~F.col("plain"), 0.0).when(F.length("form") > 7, long_ratio).otherwise(short_ratio)
+    asked = cut(asked.withColumn("need", F.greatest(F.lit(1.0), ratio * F.col("n"))).withColumn("reads", F.pandas_udf(lambda s: s.map(readings), "array<string>")("form")))
+    asked = asked.withColumn("read", F.get("reads", F.lit(0)))
+    bound = F.when((F.length("as") < 4) | (F.col("i") > 0), 0).when(F.length("as") < 8, 1).otherwise(2)
+    tiers = F.sequence(F.least(tier(F.col("need")), F.lit(most)), F.lit(most)).cast("array<string>")
+    sent = asked.select("form", tiers.alias("tiers"), F.posexplode("reads").alias("i", "as")).select("form", F.col("as"), bound.alias("bound"), F.explode("tiers").alias("key"))
+    near = trie_join(known.select(F.col("tier").cast("string").alias("key"), F.col("form").alias("word")), sent.groupBy("key", F.col("as").alias("form")).agg(F.max("bound").alias("bound")), FOLD, PAIRS)
+    near = near.groupBy(F.col("form").alias("as"), F.col("word").alias("right")).agg(F.min("distance").alias("distance"))
+    near = sent.select("form", "as").distinct().join(near, "as").groupBy("form", "right").agg(F.min("distance").alias("distance"))
+    found = asked.join(near, "form").join(known.select(F.col("form").alias("right"), F.col("n").alias("pages")), "right").where("right != form AND pages >= need")
+    piece = F.col("right").startswith(F.col("read")) | F.col("right").endswith(F.col("read"))
+    sure = (F.col("distance") == 0) | (~F.col("plain") & (F.col("distance") == 1) & (F.length("read") >= 6))
+    found = found.withColumn("sure", sure).where(F.col("sure") | (~piece & (F.length("read") >= 5) & (F.col("pages") >= 50 * F.col("n"))))
+    weigh = F.pandas_udf(lambda a, b: pd.Series([edit_weight(x, y) for x, y in zip(a, b)]), "double")
+    found = cut(found.select("form", "right", "pages", "distance", "sure", weigh("read", "right").alias("weight")))
+    best = found.groupBy("form").agg(F.max("sure").alias("any_sure"), F.min(F.when(F.col("sure"), F.col("distance"))).alias("nearest"), F.min("distance").alias("least"))
+    best = best.join(found.where("sure").groupBy("form", "distance").agg(F.max("pages").alias("most")).withColumnRenamed("distance", "nearest"), ["form", "nearest"], "left")
+    # the right word is among the nearest; far rarer ones are left out
+    found = found.join(best, "form").where(F.when(F.col("any_sure"), F.col("sure") & (F.col("distance") == F.col("nearest")) & (F.col("pages") * 50 >= F.col("most"))).otherwise(F.col("distance") == F.col("least")))
+    return found.select("form", "right", "pages", "weight", "sure")
+
+
+def noise_rows(chunks: DataFrame, frequent_share: float = 0.005, running_share: float = 0.12, top: int = 2, bottom: int = 3) -> DataFrame:
+    """(chunk_id, line, kind, form, item) of the noise of all chunks, without repetition.
+
+    kind: line (furniture, item is its number), year, form (a misread word), soft, hard or flat (a broken word). frequent_share:
+    words on a larger share of the texts are right.
+    """
+    rows = chunks.where("text IS NOT NULL AND chunk_id IS NOT NULL").select("chunk_id", "source_id", F.col("page_or_doc_idx").alias("page"), "char_start", "char_end", "text")
+    rows = spread(rows)
+    gone = cut(furniture(rows, running_share, top, bottom))
+    forms = cut(forms_counted(rows))
+    limit = max(3.0, frequent_share * rows.count())
+    usual = _small(forms.where(F.col("plain") & (F.col("n") > limit)).select(F.col("form").alias("f")))
+    found = suspects(rows, usual)
+    found = found.join(gone, ["chunk_id", "line"], "left_anti")
+    # a word isn't broken where the next line is furniture
+    cut_off = gone.select("chunk_id", (F.col("line") - 1).alias("line"), F.explode(F.array(F.lit("soft"), F.lit("hard"))).alias("kind"))
+    found = cut(found.join(cut_off, ["chunk_id", "line", "kind"], "left_anti").distinct())
+
+    asked = found.where("kind != 'year'").select("form").distinct().join(forms, "form", "left")
+    asked = asked.select("form", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("plain", is_plain(F.col("form"))).alias("plain"))
+    options = cut(candidates(forms, asked, 20.0, 3.0))
+    misread = found.where("kind = 'form'").join(options, "form")
+    # neighbours: of pairs of words only those count that an option needs
+    wanted = misread.select(F.xxhash64("before", "right").alias("pair")).union(misread.select(F.xxhash64("right", "after").alias("pair"))).distinct()
+    listed = rows.select(F.explode(F.split(F.lower("text"), "\n")).alias("x")).select(F.explode(with_neighbours(words(F.col("x")), "w")).alias("t")).where("t.after != ''")
+    pairs = listed.select(F.xxhash64("t.w", "t.after").alias("pair"))
+    pairs = cut(pairs.join(_small(wanted), "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("times")))
+    times = lambda name: pairs.select(F.col("pair").alias(f"p{name}"), F.col("times").alias(name))
+    scored = misread.withColumn("pl", F.xxhash64("before", "right")).withColumn("pr", F.xxhash64("right", "after")).join(times("l"), "pl", "left").join(times("r"), "pr", "left")
+    l, r = F.coalesce("l", F.lit(0)), F.coalesce("r", F.lit(0))
+    score = 2 * F.log1p(l) + 2 * F.log1p(r) + F.log("pages") - 3 * F.col("weight")
+    scored = scored.where(F.col("sure") | (l + r >= 2)).groupBy("chunk_id", "line", "form", "before", "after").agg(F.max(F.struct(score.alias("score"), "right")).alias("best"))
+    repaired = scored.select("chunk_id", "line", F.lit("form").alias("kind"), "form", F.col("best.right").alias("item"))
+
+    of_form = lambda name, n: forms.select(F.col("form").alias(name), F.col("n").alias(n))
+    broken = found.where("kind IN ('soft', 'hard', 'flat')").join(of_form("form", "joined_n"), "form", "left").join(of_form("alt", "alt_n"), "alt", "left")
+    best = options.where("sure").groupBy("form").agg(F.max(F.struct(F.log("pages") - 3 * F.col("weight"), "pages", "right")).alias("o"))
+    broken = broken.join(best.select("form", F.col("o.right").alias("right"), F.col("o.pages").alias("right_n")), "form", "left")
+    j, a = F.greatest(F.coalesce("joined_n", F.lit(0)), F.coalesce("right_n", F.lit(0))), F.coalesce("alt_n", F.lit(0))
+    is_case = (F.col("kind") == "soft") | ((F.col("kind") == "hard") & (a <= j)) | ((F.col("kind") == "flat") & (j > a))
+    whole = broken.where(is_case).select("chunk_id", "line", "kind", "form", F.coalesce("right", "form").alias("item"))
+    lines = gone.select("chunk_id", "line", F.lit("line").alias("kind"), F.lit("").alias("form"), F.col("line").cast("string").alias("item"))
+    years = found.where("kind = 'year'").select("chunk_id", "line", "kind", "form", F.translate("form", "lI|OoSBg", "11100589").alias("item"))
+    return lines.unionByName(years).unionByName(repaired).unionByName(whole).distinct()
 
-        def give() -> pd.DataFrame:
-            a = [("form", f, "", n) for f, n in forms.items()] + [("pair", *k, n) for k, n in pairs.items()]
-            forms.clear(), pairs.clear()
-            return pd.DataFrame(a, columns=["kind", "a", "b", "n"])
 
-        for pdf in batches:
-            lines = []
-            for track, s, t in zip(pdf["track"], pdf["source_id"], pdf["text"]):
-                whole, joined = page_forms(t)
-                forms.update(whole)
-                for j in joined:
-                    forms[j] += 0
-                if track != "retrieval":  # it holds the page again
-                    continue
-                split = t.split("\n")
-                for line in split:
-                    w = words_of(line)
-                    pairs.update(zip(w, w[1:]))
-                first, last = edge_lines(split)
-                keys = {k for i in {*first, *last} if (k := line_key(split[i]))} if len(split) > 1 else set()
-                lines += [("line", s, k, 1) for k in keys]
-                if keys:
-                    lines.append(("page", s, "", 1))
-            if lines:
-                yield pd.DataFrame(lines, columns=["kind", "a", "b", "n"])
-            if len(forms) + len(pairs) > 300_000:
-                yield give()
-        yield give()
-
-    counts = cut(pages.mapInPandas(count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
-    of_kind = lambda k: counts.where(F.col("kind") == k)
-    short_pages = of_kind("page").select(F.col("a").alias("source_id"), F.col("n").alias("pages"))
-    running = of_kind("line").select(F.col("a").alias("source_id"), F.col("b").alias("key"), "n").join(short_pages, "source_id")
-    running = running.where((F.col("n") >= 2) & (F.col("n") >= running_share * F.col("pages"))).groupBy("source_id").agg(F.collect_set("key").alias("running"))
-    plain = F.pandas_udf(lambda f: f.map(is_plain), "boolean")
-    forms = cut(of_kind("form").select(F.col("a").alias("form"), "n", plain("a").alias("plain")))
-    limit = max(3.0, frequent_share * pages.count())
-    rare = (F.col("n") <= limit) | ~F.col("plain")  # forms with odd characters are looked up however many they are
-    frequent = {r["form"] for r in forms.where(~rare).collect()}  # bounded, see above
-    known = chunks.sparkSession.sparkContext.broadcast(frequent)
-
-    # tries by the length of the skeleton, for words that differ by one character at most
-    size = F.pandas_udf(lambda f: f.map(lambda x: len(skeleton(x))), "int")
-    words = forms.where("n > 0 AND plain").select("form", "n", size("form").alias("size"))
-    asked = forms.where(rare & (F.length("form") > 0)).select("form", "n", size("form").alias("own"))
-    tries = -(-words.count() // words_per_trie)
-    words = words.withColumn("part", F.pmod(F.xxhash64("form"), F.lit(max(1, tries))).cast("int"))
-    asked = asked.withColumn("size", F.explode(F.array(F.col("own") - 1, "own", F.col("own") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, tries - 1)))))
-    near = words.groupBy("size", "part").cogroup(asked.groupBy("size", "part")).applyInPandas(lambda a, b: _candidates(a, b, 20.0, 3.0), "form string, right string, distance int, pages long")
-    near = cut(near)
-    best = near.groupBy("form").agg(F.min("distance").alias("distance"), F.max("pages").alias("most"))
-    # the right word is among the nearest; rarer ones are left out unless the neighbours may decide
-    options = near.join(best, ["form", "distance"]).where(F.col("pages") * 50 >= F.col("most"))
-    options = cut(options.withColumn("options", F.count(F.lit(1)).over(Window.partitionBy("form"))).select("form", "right", "pages", "options"))
+def page_noise(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, kind, item), without repetition: see TESTDATA.md, p2_found.
 
-    extent = rows.groupBy("source_id", "page").agg(F.max("char_end").alias("page_end"))
-    placed = rows.join(extent, [rows["source_id"].eqNullSafe(extent["source_id"]), rows["page"].eqNullSafe(extent["page"])], "left").drop(extent["source_id"]).drop(extent["page"])
-    placed = placed.join(running, "source_id", "left").select("chunk_id", "text", "running", (F.coalesce("char_start", F.lit(0)) == 0).alias("top"), F.coalesce(F.col("char_end") >= F.col("page_end"), F.lit(True)).alias("bottom"))
+    Chunks with null text or id give nothing; chunks delivered twice count once in the result; an empty table gives no rows; further
+    columns play no role. A word whose place in a broken word or line can't be told stays as it is.
+    """
+    noise = noise_rows(chunks)
+    return noise.select("chunk_id", F.when(F.col("kind") == "line", "line").otherwise("word").alias("kind"), "item").distinct()
+
+
+_WORDS = re.compile(r"\S+")
+
+
+def _cased(old: str, new: str) -> str:
+    """A repaired word in the case of the one it replaces."""
+    letters = [c for c in old if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return new.upper()
+    return new[:1].upper() + new[1:] if old[:1].isupper() else new
+
+
+def reflow(text: str, noise: list[tuple[int, str, str, str]]) -> str:
+    """A text without its noise (line, kind, form, item), as paragraphs: lines are joined up to a blank line, a heading or a table row."""
+    gone = {n for n, kind, _, _ in noise if kind == "line"}
+    right = {(n, form.lower()): item for n, kind, form, item in noise if kind in ("form", "year")}
+    joined = {n: item for n, kind, _, item in noise if kind in ("soft", "hard")}
+    flat = {(n, form): item for n, kind, form, item in noise if kind in ("flat", "soft")}
+    paragraphs: list[list[str]] = [[]]
+    lines = text.split("\n")
+    taken = ""  # the second half of a broken word, which stands on the line before
+    for n, line in enumerate(lines, 1):
+        if n in gone:
+            continue
+        if taken:
+            line = line.lstrip(" \t").removeprefix(taken)
+            taken = ""
+        if not line.strip():
+            if paragraphs[-1] and n - 1 not in joined:
+                paragraphs.append([])
+            continue
+        tail = ""
+        m = re.search(r"(\S*[\w@])[-­¬][ \t]*$", line)
+        follow = re.match(r"[ \t]*([\w@]\S*)", lines[n]) if n < len(lines) else None
+        if n in joined and m and follow:
+            taken = follow[1]
+            core = m[1].lstrip(_EDGE)
+            end = taken[len(taken.rstrip(_EDGE)) :]
+            tail = m[1][: len(m[1]) - len(core)] + _cased(core, joined[n]) + end
+            line = line[: m.start()]
+
+        def one(m: re.Match, n: int = n) -> str:
+            core = m[0].strip(_EDGE)
+            new = right.get((n, core.lower()))
+            return m[0] if new is None or not core else m[0].replace(core, _cased(core, new), 1)
+
+        def join(m: re.Match, n: int = n) -> str:
+            core = m[1].lstrip(_EDGE)
+            new = flat.get((n, (core + m[3].rstrip(_EDGE)).lower()))
+            return m[0] if new is None else m[1][: len(m[1]) - len(core)] + _cased(core, new) + m[3][len(m[3].rstrip(_EDGE)) :]
+
+        line = re.sub(r"(\S*[\w@])([-­¬]) ([a-zß-ÿ@0-9ıﬀ-ﬆ]\S*)", join, line)
+        line = " ".join(_WORDS.sub(one, line).split())
+        line = f"{line} {tail}".strip()
+        if re.match(r"\d+(?:\.\d+)+\s", line) or re.fullmatch(r"\D*\d[\d.,]*\s+\d[\d.,]*\s*", line):
+            paragraphs += [[line], []] if paragraphs[-1] else [[]]
+            if len(paragraphs) > 1 and not paragraphs[-2]:
+                paragraphs[-2].append(line)
+        else:
+            paragraphs[-1].append(line)
+    return "\n\n".join(" ".join(p) for p in paragraphs if p)
+
+
+def repaired_texts(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, text): every chunk with its text as continuous paragraphs: furniture out, broken words whole, misread ones right.
+
+    Lines are joined up to a blank line; numbered headings and table rows stay alone. A null text stays null and a blank one becomes
+    empty; chunks delivered twice give two rows; a null chunk_id keeps its text but for the joining of lines.
+    """
+    noise = noise_rows(chunks).groupBy("chunk_id").agg(F.collect_list(F.struct("line", "kind", "form", "item")).alias("noise"))  # within one text
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        usual = known.value
+    def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for c, t, run, top, bottom in zip(pdf["chunk_id"], pdf["text"], pdf["running"], pdf["top"], pdf["bottom"]):
-                lines = t.split("\n")
-                gone = furniture(lines, set(run) if run is not None else set(), top, bottom)
-                out += [(c, "line", str(i + 1), "", "", "") for i in gone]
-                body = "\n".join(x for i, x in enumerate(lines) if i not in gone)
-                for how, joined, hyphened in breaks(body):
-                    out.append((c, how, joined, hyphened, "", ""))
-                for line in unbroken(body).split("\n"):
-                    raw = [w for x in line.split() if (w := x.strip(_EDGE))]
-                    for i, w in enumerate(raw):
-                        f = w.lower()
-                        if f in usual or f.isdigit():
-                            continue
-                        if len(w) == 4 and _YEAR.fullmatch(w):
-                            out.append((c, "year", w.translate(_YEAR_DIGITS), "", "", ""))
-                        elif not _NUMBER_LIKE.fullmatch(w):
-                            out.append((c, "form", f, "", raw[i - 1].lower() if i else "", raw[i + 1].lower() if i + 1 < len(raw) else ""))
-            yield pd.DataFrame(list(dict.fromkeys(out)), columns=["chunk_id", "kind", "form", "alt", "before", "after"])
-
-    found = cut(placed.mapInPandas(find, "chunk_id string, kind string, form string, alt string, before string, after string"))
-    plainly = found.where("kind IN ('line', 'year')").select("chunk_id", F.when(F.col("kind") == "line", "line").otherwise("word").alias("kind"), F.col("form").alias("item"))
-    one = options.where("options = 1").select("form", "right")
-    several = options.where("options > 1")
-    misread = found.where("kind = 'form'")
-    direct = misread.join(one, "form").select("chunk_id", F.lit("word").alias("kind"), F.col("right").alias("item"))
-    pairs = of_kind("pair").select("a", "b", F.col("n").alias("times"))
-    unclear = misread.join(several, "form")
-    left = pairs.select(F.col("a").alias("before"), F.col("b").alias("right"), F.col("times").alias("l"))
-    right = pairs.select(F.col("b").alias("after"), F.col("a").alias("right"), F.col("times").alias("r"))
-    scored = unclear.join(left, ["before", "right"], "left").join(right, ["after", "right"], "left")
-    rank = F.struct(F.coalesce("l", F.lit(0)) + F.coalesce("r", F.lit(0)), "pages", "right")
-    chosen = scored.groupBy("chunk_id", "form", "before", "after").agg(F.max(rank).alias("best")).select("chunk_id", F.lit("word").alias("kind"), F.col("best.right").alias("item"))
-
-    broken = found.where("kind IN ('soft', 'hard', 'flat')").join(forms.withColumnRenamed("n", "joined_n"), "form", "left")
-    broken = broken.join(forms.select(F.col("form").alias("alt"), F.col("n").alias("alt_n")), "alt", "left")
-    top = options.groupBy("form").agg(F.max(F.struct("pages", "right")).alias("o"))
-    broken = broken.join(top.select("form", F.col("o.right").alias("right"), F.col("o.pages").alias("right_n")), "form", "left")
-    j, a = F.greatest(F.coalesce("joined_n", F.lit(0)), F.coalesce("right_n", F.lit(0))), F.coalesce("alt_n", F.lit(0))
-    is_case = (F.col("kind") == "soft") | ((F.col("kind") == "hard") & (a <= j)) | ((F.col("kind") == "flat") & (j > a))
-    whole = broken.where(is_case).select("chunk_id", F.lit("word").alias("kind"), F.coalesce("right", "form").alias("item"))
-    return plainly.unionByName(direct).unionByName(chosen).unionByName(whole).distinct()
+            out = [None if t is None else reflow(t, [] if x is None else [(r["line"], r["kind"], r["form"], r["item"]) for r in x]) for t, x in zip(pdf["text"], pdf["noise"])]
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "text": out})
 
+    rows = spread(chunks.select("chunk_id", "text")).join(noise, "chunk_id", "left")
+    return rows.mapInPandas(repair, "chunk_id string, text string")

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.llm import dedup, names, neighbours, packing, registry, scans, survivors, tokens, toxicity, truncation
+from factloom.llm import dedup, names, neighbours, packing, registry, scans, survivors, tokens, toxicity, tries, truncation
 
 FACTS = "seq long, subject string, predicate string, object string, salt int, k1 string, n int"
 
@@ -184,7 +184,7 @@ def osa(a, b):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("abc", min_size=1, max_size=7), min_size=1, max_size=25), st.text("abc", min_size=1, max_size=7))
 def test_trie_finds_all_neighbours(words, asked):
-    trie = names.Trie(words)
+    trie = tries.Trie(words)
     for bound in (0, 1, 2):
         assert dict(trie.near(asked, bound)) == {w: osa(asked, w) for w in words if osa(asked, w) <= bound}
 
@@ -255,9 +255,48 @@ def test_page_noise(spark):
     assert scans.page_noise(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("bad", "good"), [("percerit", "percent"), ("apperidix", "appendix"), ("coiild", "could"), ("thircl", "third"), ("pıe1iminary", "preliminary"), ("clemarid", "demand"), ("qrowtb", "growth"), ("5hiprnent", "shipment"), ("tariﬀ", "tariff")])
-def test_skeletons(bad, good):
-    assert scans.skeleton(bad) == scans.skeleton(good)
+@pytest.mark.parametrize(
+    ("bad", "good", "weight"),
+    [("percerit", "percent", 0.25), ("apperidix", "appendix", 0.25), ("coiild", "could", 0.25), ("thircl", "third", 0.25), ("pıe1iminary", "preliminary", 0.5), ("clemarid", "demand", 0.5), ("qrowtb", "growth", 0.5), ("5hiprnent", "shipment", 0.5), ("dosed", "closed", 0.25), ("flfet", "fleet", 1), ("form", "from", 1)],
+)
+def test_edit_weight(bad, good, weight):
+    assert scans.edit_weight(bad, good) == weight
+
+
+def noisy_pages(misread):
+    """A hundred pages of the same few words, one of them with misread forms."""
+    usual = "the captain reported that a fleet of seven vessels was closed for repairs in the harbour of\nthe quarterly review before the meeting"
+    rows = [("retrieval", "scan:a", i, f"r{i}", 0, 400, usual) for i in range(120)] + [("retrieval", "scan:a", 200, "bad", 0, 400, misread)]
+    return rows, "track string, source_id string, page_or_doc_idx int, chunk_id string, char_start int, char_end int, text string"
+
+
+def test_misreadings_outside_the_confusions_are_found_by_edits(spark, monkeypatch):
+    """A plain misreading that no confusion explains needs a bounded edit, and neighbours that speak for it."""
+    df = spark.createDataFrame(*noisy_pages("the captzin reported that a flxet of seven vcssels was dosed for\nthe quartxrly review before the meeting xyzzy harbou"))
+    found = {r["item"] for r in scans.page_noise(df).where("chunk_id = 'bad'").collect()}
+    assert found == {"captain", "fleet", "vessels", "closed", "quarterly"}  # harbou is a piece of a word, xyzzy nothing
+    join = scans.trie_join
+    monkeypatch.setattr(scans, "trie_join", lambda w, a, *x: join(w, a.withColumn("bound", F.lit(0)), *x))
+    assert {r["item"] for r in scans.page_noise(df).where("chunk_id = 'bad'").collect()} == {"vessels", "closed"}
+
+
+def test_neighbours_decide_between_words(spark):
+    pages = ["they paid the bill at once and left"] * 60 + ["he climbed the hill at dawn and left"] * 60
+    rows = [("retrieval", "s", i, f"r{i}", 0, 9, t) for i, t in enumerate(pages)] + [("retrieval", "s", 500, "a", 0, 9, "they paid the b1ll at once"), ("retrieval", "s", 501, "b", 0, 9, "he climbed the 6ill at dawn")]
+    df = spark.createDataFrame(rows, noisy_pages("")[1])
+    assert {(r["chunk_id"], r["item"]) for r in scans.page_noise(df).collect()} == {("a", "bill"), ("b", "hill")}
+
+
+def test_texts_are_repaired_and_reflowed(spark):
+    rows = [("retrieval", "scan:a", i, f"r{i}", 0, 400, PAGE.format(n=10 + i, a=WORDS[i] * 3, b=WORDS[-i] * 3, extra=f"{WORDS[i] * 2} the inspection of a cross-border clause was closed on day {i + 1} of the temporary review.")) for i in range(12)]
+    rows += [("retrieval", "scan:b", 0, "z", 0, 5, None), ("retrieval", "web:c", 2, "empty", 0, 0, " \n "), ("retrieval", "web:c", 3, "flow", 0, 9, "One line\nand more.\n\n2.1 Heading\nText goes\non.\nMargin  12  13")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], noisy_pages("")[1] + ", item int")
+    got = {r["chunk_id"]: r["text"] for r in scans.repaired_texts(df).collect()}
+    assert got["z"] is None and got["empty"] == "" and got["flow"] == "One line and more.\n\n2.1 Heading\n\nText goes on.\n\nMargin 12 13"
+    text = got["r3"]
+    assert "inspection" in text and "closed" in text and "1996" in text and "\n" not in text.replace("\n\n", "")
+    assert not any(x in text for x in ("clcsed", "inspec-", "Annual Review"))
+    assert scans.repaired_texts(df.limit(0)).count() == 0
 
 
 # --- 10
