@@ -20,21 +20,21 @@ _TOKEN = r"9\.$|[\p{L}\p{M}]+(?:[''’-][\p{L}\p{M}]+)*|\d+(?:[.,]\d+)*|[^\s\p{L
 
 def frequent_names(texts: DataFrame, share: float) -> list[str]:
     """Capitalised words that make up at least a share of all of them; at most 1 / share words."""
-    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*"), 0)).alias("w")).groupBy("w").count()
+    words = cut(texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*"), 0)).alias("w")).groupBy("w").count())
     total = words.agg(F.sum("count")).first()[0] or 0
     return sorted(r["w"] for r in words.where(F.col("count") >= max(3, share * total)).select("w").collect())
 
 
 def normal_words(texts: DataFrame, names: list[str]) -> DataFrame:
     """Adds words (the tokens of a text) and last (its last token as it is written)."""
-    known = "|".join([*names, _NAME, "Chunk"])
-    return texts.select(
-        "*",
-        F.expr(r"regexp_extract(text, r'([\p{L}\p{M}]+|\d+(?:[.,]\d+)*|\S)$', 1)").alias("last"),
-    ).withColumn("words", F.regexp_extract_all(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        "text", r"\n(?=\s*[-*•]|\n)", " ¶ "), r"(?<![\d.])0[.,]$", "9."), r"(?i)\[\s*chunk\s+[^\]]*\]", f"[ Chunk {_CITED} ]"), r"(?i)\[\s*chunk\s+[^\]]*$", f"[ Chunk {_CITING}"),
-        r"\d+(?:[.,]\d+)+|\d{5,}", "9.9"), r"(?<![\d.])\d(?![.]9)", "9"),
-        rf"(?<![\p{{L}}\p{{M}}])(?!(?:{known})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{L}}\p{{M}}]*", _NAME), rf"{_NAME}(?:[ -]{_NAME})+", _NAME), F.lit(_TOKEN), 0))
+    t = F.regexp_replace("text", r"\n(?=\s*[-*•]|\n)", " ¶ ")
+    t = F.regexp_replace(t, r"(?<![\d.])0[.,]$", "9.")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)\[\s*chunk\s+[^\]]*\]", f"[ Chunk {_CITED} ]"), r"(?i)\[\s*chunk\s+[^\]]*$", f"[ Chunk {_CITING}")
+    t = F.regexp_replace(F.regexp_replace(t, r"\d+(?:[.,]\d+)+|\d{5,}", "9.9"), r"(?<![\d.])\d(?![.]9)", "9")
+    known = [*names, _NAME, "Chunk"]  # looked up in a hash set
+    named = F.transform(F.regexp_extract_all(t, F.lit(_TOKEN), 0), lambda w: F.when(w.rlike(r"^\p{Lu}") & ~w.isin(*known), _NAME).otherwise(w))
+    words = F.get(F.transform(F.array(named), lambda ws: F.filter(ws, lambda w, i: (w != _NAME) | (i == 0) | (F.get(ws, i - 1) != _NAME))), F.lit(0))
+    return texts.select("*", F.expr(r"regexp_extract(text, r'([\p{L}\p{M}]+|\d+(?:[.,]\d+)*|\S)$', 1)").alias("last"), words.alias("words"))
 
 
 _COUNTS = r"""
@@ -54,24 +54,31 @@ WITH finals AS (SELECT concat(array('^', '^'), words) AS w, last FROM {texts} WH
 SELECT w[size(w) - 3] AS a, w[size(w) - 2] AS b, w[size(w) - 1] AS c, last FROM finals
 """
 
-#: Of each distinct final trigram: how often it occurs elsewhere, goes on, and how often longer words stand in its place.
+#: Of each distinct final trigram: how often it occurs elsewhere, goes on, and how often longer words stand in its place. Longer
+#: words are found by equal beginnings: of a word only those of a length that some last word has, so each word meets each beginning once.
 _JUDGED = r"""
-WITH distinct_finals AS (SELECT DISTINCT a, b, c, last FROM {finals}),
+WITH distinct_finals AS (SELECT * FROM {finals}),
+     needles AS (SELECT DISTINCT a, b, c, last, explode(array_distinct(array(last, c))) AS part FROM distinct_finals),
      pairs AS (SELECT b, c, sum(n) AS n, sum(ends) AS ends FROM {counts} GROUP BY b, c),
+     singles AS (SELECT c, sum(n) AS n FROM pairs GROUP BY c),
      own3 AS (SELECT f.*, coalesce(t.n, 1) - 1 AS n3, coalesce(t.ends, 1) - 1 AS ends3 FROM distinct_finals f LEFT JOIN {counts} t USING (a, b, c)),
      own2 AS (SELECT f.*, coalesce(p.n, 1) - 1 AS n2, coalesce(p.ends, 1) - 1 AS ends2 FROM own3 f LEFT JOIN pairs p USING (b, c)),
-     longer3 AS (SELECT f.a, f.b, f.c, f.last, sum(t.n - t.closes) AS m3 FROM distinct_finals f JOIN {counts} t ON f.a = t.a AND f.b = t.b
-                 WHERE t.c != f.c AND (startswith(t.c, f.last) OR startswith(t.c, f.c)) GROUP BY f.a, f.b, f.c, f.last),
-     parts AS (SELECT c, n, explode(transform(sequence(1, least(length(c) - 1, 24)), k -> left(c, k))) AS part FROM (SELECT c, sum(n) AS n FROM pairs WHERE length(c) > 1 GROUP BY c)),
-     longer1 AS (SELECT f.c, f.last, sum(p.n) AS m1 FROM (SELECT DISTINCT c, last FROM distinct_finals) f JOIN parts p ON p.part = f.last WHERE p.c != f.c GROUP BY f.c, f.last),
-     singles AS (SELECT c, sum(n) AS n1 FROM pairs GROUP BY c),
-     longer2 AS (SELECT f.b, f.c, f.last, sum(p.n) AS m2 FROM (SELECT DISTINCT b, c, last FROM distinct_finals) f JOIN pairs p ON f.b = p.b
-                 WHERE p.c != f.c AND (startswith(p.c, f.last) OR startswith(p.c, f.c)) GROUP BY f.b, f.c, f.last)
-SELECT a, b, c, last, n3, ends3, n2, ends2, coalesce(m3, 0) AS m3, coalesce(m2, 0) AS m2, coalesce(n1, 1) - 1 AS n1, coalesce(m1, 0) AS m1
+     parts3 AS (SELECT a, b, c AS longer, n - closes AS n, explode(transform(filter({lengths}, k -> k < length(c)), k -> left(c, k))) AS part
+                FROM {counts} t LEFT SEMI JOIN needles USING (a, b) WHERE n > closes),
+     longer3 AS (SELECT a, b, c, last, max(m) AS m3 FROM (SELECT f.a, f.b, f.c, f.last, f.part, sum(t.n) AS m FROM needles f JOIN parts3 t ON f.a = t.a AND f.b = t.b AND f.part = t.part
+                 WHERE t.longer != f.c GROUP BY f.a, f.b, f.c, f.last, f.part) GROUP BY a, b, c, last),
+     needles2 AS (SELECT DISTINCT b, c, last, part FROM needles),
+     parts2 AS (SELECT b, c AS longer, n, explode(transform(filter({lengths}, k -> k < length(c)), k -> left(c, k))) AS part FROM pairs p LEFT SEMI JOIN needles2 USING (b)),
+     longer2 AS (SELECT b, c, last, max(m) AS m2 FROM (SELECT f.b, f.c, f.last, f.part, sum(t.n) AS m FROM needles2 f JOIN parts2 t ON f.b = t.b AND f.part = t.part
+                 WHERE t.longer != f.c GROUP BY f.b, f.c, f.last, f.part) GROUP BY b, c, last),
+     parts1 AS (SELECT c AS longer, n, explode(transform(filter({lengths}, k -> k < length(c)), k -> left(c, k))) AS part FROM singles),
+     longer1 AS (SELECT f.c, f.last, sum(t.n) AS m1 FROM (SELECT DISTINCT c, last FROM distinct_finals) f JOIN parts1 t ON t.part = f.last WHERE t.longer != f.c GROUP BY f.c, f.last)
+SELECT a, b, c, last, n3, ends3, n2, ends2, coalesce(m3, 0) AS m3, coalesce(m2, 0) AS m2, coalesce(s.n, 1) - 1 AS n1, coalesce(m1, 0) AS m1
 FROM own2 LEFT JOIN longer3 USING (a, b, c, last) LEFT JOIN longer2 USING (b, c, last)
-     LEFT JOIN longer1 USING (c, last) LEFT JOIN singles USING (c)
+     LEFT JOIN longer1 USING (c, last) LEFT JOIN singles s USING (c)
 """
 
+#: Trigrams decide; where they are too rare, the same counts summed over the first word, or over the first two, do.
 _CUT = """
 CASE WHEN n3 >= {least} THEN ends3 < {terminal} * n3 OR (m3 >= {least} AND n3 < {rare} * m3)
      WHEN m3 >= {least} THEN true
@@ -79,6 +86,7 @@ CASE WHEN n3 >= {least} THEN ends3 < {terminal} * n3 OR (m3 >= {least} AND n3 <
      WHEN m2 >= {least} THEN true
      ELSE m1 >= {least} AND n1 < {rare} * m1 END
 """
+_RULE = "CASE WHEN n3 >= {least} OR m3 >= {least} THEN 'trigram' WHEN n2 >= {least} OR m2 >= {least} THEN 'bigram' ELSE 'word' END"
 
 
 def _balanced(text: F.Column) -> F.Column:
@@ -90,12 +98,11 @@ def _balanced(text: F.Column) -> F.Column:
 
 
 def cut_texts(cache: DataFrame, terminal: float = 0.5, rare: float = 0.05, least: int = 3, name_share: float = 0.001) -> DataFrame:
-    """(entry_id, source_id, is_cut) of every entry with a text.
+    """(entry_id, source_id, is_cut, rule) of every entry with a text.
 
     terminal: a last trigram is suspicious if less than this share of its other occurrences is at an end of a sentence or
     text. rare: so much rarer than the longer words in its place is a beginning of a word. least: occurrences that count;
-    where a trigram has fewer, its last two words
-    decide, then the last. Half a character at the end (U+FFFD) is left out. Null, blank and error texts ("[ERROR] ...") are not cut. Repeated
+    where a trigram has fewer, its last two words decide, then the last: rule says which. Half a character at the end (U+FFFD) is left out. Null, blank and error texts ("[ERROR] ...") are not cut. Repeated
     rows each give a row; an empty table gives none; further columns play no role.
     """
     rows = cache.select("entry_id", "source_id", F.regexp_replace("value", r"[\s\p{Z}�]+$", "").alias("text"))
@@ -103,11 +110,12 @@ def cut_texts(cache: DataFrame, terminal: float = 0.5, rare: float = 0.05, least
     words = cut(normal_words(texts, frequent_names(texts, name_share)).select("entry_id", "source_id", "words", "last", _balanced(F.col("text")).alias("closed")))
     spark = cache.sparkSession
     counts = spark.sql(_COUNTS, texts=words)
-    finals = spark.sql(_FINALS, texts=words)
-    judged = spark.sql(_JUDGED, finals=finals, counts=cut(counts)).withColumn("cut", F.expr(_CUT.format(terminal=terminal, rare=rare, least=least)))
+    finals = cut(spark.sql(_FINALS, texts=words).distinct())
+    lengths = sorted({n for r in finals.select(F.length("last").alias("a"), F.length("c").alias("b")).distinct().collect() for n in r})  # the lengths of words
+    judged = spark.sql(_JUDGED.replace("{lengths}", f"array({', '.join(map(str, lengths)) or 0})"), finals=finals, counts=cut(counts)).withColumn("cut", F.expr(_CUT.format(terminal=terminal, rare=rare, least=least))).withColumn("rule", F.expr(_RULE.format(least=least)))
     ends = spark.sql("SELECT *, concat(array('^', '^'), words) AS w FROM {words} WHERE size(words) > 0", words=words)
     ends = ends.select("entry_id", "source_id", "last", "closed", F.expr("w[size(w) - 3]").alias("a"), F.expr("w[size(w) - 2]").alias("b"), F.expr("w[size(w) - 1]").alias("c"))
-    return ends.join(judged, ["a", "b", "c", "last"]).select("entry_id", "source_id", (F.col("cut") & ~F.col("closed")).alias("is_cut"))
+    return ends.join(judged, ["a", "b", "c", "last"]).select("entry_id", "source_id", (F.col("cut") & ~F.col("closed")).alias("is_cut"), "rule")
 
 
 def cut_shares(cache: DataFrame) -> DataFrame:
