@@ -2,18 +2,20 @@
 
 Every form of a word is counted over all pages. Rare forms, and forms with odd characters, are looked up in a trie of all
 words by Levenshtein automata, in which the confusions of scanners are free and other edits are bounded by the length of the
-form. What is found is ranked by the neighbouring words, the weight of the edits and the frequency. Counting and splitting are
-column expressions; only the automata and the last step of the repair run in Python.
+form. What is found is ranked by the neighbouring words, the weight of the edits and the frequency. Texts are read line by line in
+Arrow batches and never shuffled; what is shuffled are counts, and the rare forms with their places.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.tries import trie_join
@@ -28,52 +30,61 @@ PAIRS = {"rn": "m", "ri": "n", "rl": "n", "r1": "n", "cl": "d", "c1": "d", "ii":
 #: The two characters that one may stand for.
 SPLIT = {"d": ("cl",), "m": ("rn",), "w": ("vv",)}
 _EDGE = " \t\r.,;:()[]{}\"'“”‘’«»|–—-¬­!?*…"
-_LETTER = r"[\p{L}&&[^ıﬀ-ﬆ]]"
-_PLAIN = rf"^{_LETTER}+(?:[-'’/]{_LETTER}+)*$"
-_NUMBER_LIKE = r"^[\dlIOo|,.%/$€£-]*\d[\dlIOo|,.%/$€£-]*$"
-_YEAR = r"^(?:[1lI|][9g][\dlIOoSB]{2}|2[0oO][\dlIOoSB]{2})$"
-_ENDS_BROKEN = r"(?U)(\S*[\w@])([-­¬])[ \t]*$"
-_BEGINS = r"(?U)^[ \t]*([\w@]\S*)"
-_FLAT = r"(?U)(\S*[\w@])([-­¬]) ([a-zß-ÿ@0-9ıﬀ-ﬆ]\S*)"
-_BROKEN = r"(?U)\S*[\w@][-­¬][ \t]*\n[ \t]*[\w@]\S*"
-_MAY_BREAK = r"[-­¬](?:[ \t]*\n| )"
-_PAGE_NUMBER = r"(?i)^\s*(?:[-–—\[(]\s*)?(?:p(?:age|aqe|agc|\.)?\s*)?(?=[\dlIOo|]*[\dlIO])[\dlIOo|]{1,4}(?:\s*(?:of|ot|/)\s*[\dlIOo|]{1,4})?(?:\s*[-–—\])])?\s*$"
-_TABLE = r"^\D*\d[\d.,]*\s+\d[\d.,]*\s*$"
-_HEADING = r"^\s*\d+(?:\.\d+)+\s"
+_LETTER = r"[^\W\d_ıﬀ-ﬆ]"
+_PLAIN = re.compile(rf"{_LETTER}+(?:[-'’/]{_LETTER}+)*")
+_NUMBER_LIKE = re.compile(r"[\dlIOo|,.%/$€£-]*\d[\dlIOo|,.%/$€£-]*")
+_YEAR = re.compile(r"[1lI|][9g][\dlIOoSB]{2}|2[0oO][\dlIOoSB]{2}")
+_YEAR_DIGITS = str.maketrans({"l": "1", "I": "1", "|": "1", "O": "0", "o": "0", "S": "5", "B": "8", "g": "9"})
+_MAY_END_BROKEN = re.compile(r"[-­¬][ \t\r]*$")
+_ENDS_BROKEN = re.compile(r"(\S*[\w@])([-­¬])[ \t\r]*$")
+_BEGINS = re.compile(r"[ \t]*([\w@]\S*)")
+_FLAT = re.compile(r"(\S*[\w@])([-­¬]) ([a-zß-ÿ@0-9ıﬀ-ﬆ]\S*)")
+_MAY_BE_FLAT = re.compile(r"[-­¬] ")
+_PAGE_NUMBER = re.compile(r"\s*(?:[-–—\[(]\s*)?(?:p(?:age|aqe|agc|\.)?\s*)?(?=[\dlIOo|]*[\dlIO])[\dlIOo|]{1,4}(?:\s*(?:of|ot|/)\s*[\dlIOo|]{1,4})?(?:\s*[-–—\])])?\s*", re.I)
+_TABLE = re.compile(r"\D*\d[\d.,]*\s+\d[\d.,]*\s*")
+_HEADING = re.compile(r"\s*\d+(?:\.\d+)+\s")
+_NO_KEY = re.compile(r"(?i)[\dlIOo|.\[\]()-]{1,6}|p(?:age|\.)")
+_SAME = str.maketrans("fciıthqo", "eelrebga")
 #: Tables up to this size are broadcast.
 MOST_BROADCAST = 200_000
 
 
-def word(token: Column) -> Column:
-    """A token without outer punctuation."""
-    return F.btrim(token, F.lit(_EDGE))
+def is_plain(form: str) -> bool:
+    return bool(_PLAIN.fullmatch(form))
 
 
-def words(line: Column) -> Column:
-    return F.filter(F.transform(F.split(line, r"\s+"), word), lambda w: w != "")
+def line_key(line: str) -> str:
+    """A line without page number, spaces and confusions, to compare running heads; empty for headings, table rows and short lines."""
+    if _HEADING.match(line) or _TABLE.fullmatch(line):
+        return ""
+    kept = [t for t in re.split(r"[\s|–—]+", line) if t and not _NO_KEY.fullmatch(t)]
+    letters = "".join(c for c in "".join(kept).lower() if c.isalpha())
+    return letters.translate(_SAME) if len(letters) >= 5 else ""
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once: a column named in a lambda is computed for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def broken(line: str, follow: str) -> tuple[str, str, str] | None:
+    """(first half, its hyphen, second half) of a word that is broken at the end of a line."""
+    if _MAY_END_BROKEN.search(line) and (m := _ENDS_BROKEN.search(line)) and (n := _BEGINS.match(follow)):
+        return m[1], m[2], n[1]
+    return None
 
 
-def with_neighbours(xs: Column, name: str) -> Column:
-    """An array of structs: each element, the one before and the one after it (empty where there is none)."""
-    at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
-    return let(xs, lambda a: F.transform(a, lambda x, i: F.struct(x.alias(name), at(a, i - 1).alias("before"), at(a, i + 1).alias("after"))))
-
-
-def is_plain(form: Column) -> Column:
-    return form.rlike(_PLAIN)
-
-
-def line_key(line: Column) -> Column:
-    """A line without page number, spaces and confusions, to compare running heads; null for headings, table rows and short lines."""
-    x = F.concat(F.lit(" "), F.regexp_replace(line, r"[\s|–—]+", "  "), F.lit(" "))
-    x = F.regexp_replace(x, r"(?i) (?:[\dlIOo|.\[\]()-]{1,6}|page|p\.) ", " ")
-    x = F.translate(F.regexp_replace(F.lower(x), r"\P{L}+", ""), "fciıthqo", "eelrebga")
-    return F.when(~line.rlike(_HEADING) & ~line.rlike(_TABLE) & (F.length(x) >= 5), F.xxhash64(x))
+def whole_lines(text: str) -> Iterator[tuple[int, str, tuple[str, str, str] | None, list[tuple[str, str, str]]]]:
+    """(number, line without the words that are broken in it, the word broken at its end, those broken before a space)."""
+    lines = text.split("\n")
+    begun = None
+    for n, line in enumerate(lines, 1):
+        ends = broken(line, lines[n]) if n < len(lines) else None
+        if ends:
+            line = _ENDS_BROKEN.sub("", line)
+        if begun:
+            line = _BEGINS.sub("", line, count=1)
+        flat = []
+        if _MAY_BE_FLAT.search(line):
+            flat = [m.groups() for m in _FLAT.finditer(line)]
+            line = _FLAT.sub(" ", line)
+        yield n, line, ends, flat
+        begun = ends
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -118,17 +129,29 @@ def furniture(rows: DataFrame, running_share: float, top: int, bottom: int) -> D
     """(chunk_id, line) of running heads, running feet and page numbers; lines count from 1.
 
     They stand among the first `top` and last `bottom` lines of a page that aren't blank. A running line is one that
-    at least running_share of the source's pages in short lines (two at least) have there, but for numbers and confused characters. No text is
-    shuffled: only the keys of these lines are.
+    at least running_share of the source's pages in short lines (two at least) have there, but for numbers and confused characters. No
+    text is shuffled: only the keys of these lines are.
     """
-    full = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("x"))), lambda s: s["x"].rlike(r"\S"))
-    ends = lambda a, n, at: F.transform(F.slice(a, 1, n), lambda x, i: F.struct(x["line"].alias("line"), x["x"].alias("x"), F.lit(at).alias("at"), i.alias("i")))
-    pages = rows.where(F.col("text").contains("\n")).select("chunk_id", "source_id", "page", "char_start", "char_end", F.explode(let(full, lambda a: F.concat(ends(a, top, "top"), ends(F.reverse(a), bottom, "bottom")))).alias("e"))
-    outer = F.when(F.col("e.at") == "top", F.col("e.i") < 1).otherwise(F.col("e.i") < 2)
-    edges = pages.select("chunk_id", "source_id", "page", "char_start", "char_end", "e.line", "e.at", line_key(F.col("e.x")).alias("key"), (F.length("e.x") <= 80).alias("short"), (outer & F.col("e.x").rlike(_PAGE_NUMBER)).alias("number"))
-    edges = cut(edges).where("key IS NOT NULL OR number")
+
+    def edges_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *ids, t in pdf.itertuples(index=False):
+                lines = t.split("\n")
+                full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+                if len(lines) < 2:
+                    continue
+                for at, places, outer in (("top", full[:top], full[:1]), ("bottom", full[-bottom:], full[-2:])):
+                    for i in places:
+                        key, number = line_key(lines[i]), i in outer and bool(_PAGE_NUMBER.fullmatch(lines[i]))
+                        if key or number:
+                            out.append((*ids, i + 1, at, xxhash.xxh64_intdigest(key) - 2**63 if key else None, len(lines[i]) <= 80, number))
+            yield pd.DataFrame(out, columns=[*pdf.columns[:-1], "line", "at", "key", "short", "number"]).astype({"key": "Int64", "char_start": "Int32", "char_end": "Int32", "page": "Int64"})
+
+    edges = rows.select("chunk_id", "source_id", F.col("page").cast("long").alias("page"), "char_start", "char_end", "text")
+    edges = cut(edges.mapInPandas(edges_of, "chunk_id string, source_id string, page long, char_start int, char_end int, line int, at string, key long, short boolean, number boolean"))
     # a text begins its page if nothing stands before it, and ends it if no text of the page reaches further
-    extent = rows.groupBy("source_id", "page").agg(F.max("char_end").alias("page_end"))
+    extent = rows.groupBy("source_id", F.col("page").cast("long").alias("page")).agg(F.max("char_end").alias("page_end"))
     edges = edges.join(extent, ["source_id", "page"], "left")
     at_top, at_bottom = F.coalesce("char_start", F.lit(0)) == 0, F.coalesce(F.col("char_end") >= F.col("page_end"), F.lit(True))
     edges = cut(edges.where(F.when(F.col("at") == "top", at_top).otherwise(at_bottom)).select("chunk_id", "source_id", "page", "line", "key", "short", "number"))
@@ -140,44 +163,68 @@ def furniture(rows: DataFrame, running_share: float, top: int, bottom: int) -> D
     return found.unionByName(edges.where("number").select("chunk_id", "line")).distinct()
 
 
-def forms_counted(rows: DataFrame) -> DataFrame:
-    """(form, n, plain): on how many texts each form of a word stands, words that are broken in two left out."""
-    t = F.col("text")
-    whole = F.when(t.rlike(_MAY_BREAK), F.regexp_replace(F.regexp_replace(t, _BROKEN, " "), _FLAT, " ")).otherwise(t)
-    each = rows.select(F.explode(F.array_distinct(F.transform(F.split(F.lower(whole), r"\s+"), word))).alias("form"))
-    forms = each.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where((F.col("form") != "") & ~F.col("form").rlike(_NUMBER_LIKE))
-    return forms.withColumn("plain", is_plain(F.col("form")))
+def counted(rows: DataFrame) -> DataFrame:
+    """(kind, a, n): on how many texts each form of a word stands (form), and how often two words stand side by side (pair: "a b").
 
+    Words that are broken in two are left out.
+    """
 
-def suspects(rows: DataFrame, usual: DataFrame) -> DataFrame:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forms: Counter[str] = Counter()
+        pairs: Counter[tuple[str, str]] = Counter()
+
+        def give() -> pd.DataFrame:
+            out = pd.DataFrame([("form", f, n) for f, n in forms.items() if f and not _NUMBER_LIKE.fullmatch(f)] + [("pair", f"{x} {y}", n) for (x, y), n in pairs.items()], columns=["kind", "a", "n"])
+            forms.clear(), pairs.clear()
+            return out
+
+        for pdf in batches:
+            for t in pdf["text"]:
+                seen: set[str] = set()
+                for _, line, _, _ in whole_lines(t.lower()):
+                    words = [w for x in line.split() if (w := x.strip(_EDGE))]
+                    seen.update(words)
+                    pairs.update(zip(words, words[1:]))
+                forms.update(seen)
+            if len(forms) + len(pairs) > 400_000:
+                yield give()
+        yield give()
+
+    return rows.select("text").mapInPandas(count, "kind string, a string, n long").groupBy("kind", "a").agg(F.sum("n").alias("n"))
+
+
+def suspects(rows: DataFrame, usual: list[str]) -> DataFrame:
     """(chunk_id, line, kind, form, alt, before, after) of what may be noise within a text.
 
     kind: form (a word that isn't usual), year (a misread one), or how a word is broken: soft, hard (at a line's end) and flat
-    (before a space); alt is a broken word with its hyphen. usual: a table of one column f.
+    (before a space); alt is a broken word with its hyphen.
     """
-    each = rows.select("chunk_id", F.posexplode(with_neighbours(F.split("text", "\n"), "x")).alias("i", "s"))
-    each = each.select("chunk_id", (F.col("i") + 1).alias("line"), "s.x", F.col("s.before").alias("prev"), F.col("s.after").alias("next")).where("x != ''")
-    goes_on = F.col("x").rlike(r"[-­¬][ \t]*$") & F.col("x").rlike(_ENDS_BROKEN) & F.col("next").rlike(_BEGINS)
-    begun = F.col("prev").rlike(r"[-­¬][ \t]*$") & F.col("prev").rlike(_ENDS_BROKEN) & F.col("x").rlike(_BEGINS)
-    has_flat = F.col("x").rlike("[-­¬] ")
-    part = lambda x: F.lower(word(x))
-    left_of, right_of = F.ltrim(F.lower(F.regexp_extract("x", _ENDS_BROKEN, 1)), F.lit(_EDGE)), F.rtrim(F.lower(F.regexp_extract("next", _BEGINS, 1)), F.lit(_EDGE))
-    kind = F.when(F.regexp_extract("x", _ENDS_BROKEN, 2) == "-", "hard").otherwise("soft")
-    end = each.where(goes_on).select("chunk_id", "line", kind.alias("kind"), left_of.alias("l"), right_of.alias("r"))
-    flat = each.where(has_flat).select("chunk_id", "line", F.explode(F.regexp_extract_all("x", F.lit(_FLAT), 0)).alias("m"))
-    flat = flat.select("chunk_id", "line", F.when(F.regexp_extract("m", _FLAT, 2) == "-", "flat").otherwise("soft").alias("kind"), F.ltrim(F.lower(F.regexp_extract("m", _FLAT, 1)), F.lit(_EDGE)).alias("l"), F.rtrim(F.lower(F.regexp_extract("m", _FLAT, 3)), F.lit(_EDGE)).alias("r"))
-    broken = end.unionByName(flat).where(F.col("l").rlike(r"\p{L}") & F.col("r").rlike(r"\p{L}"))
-    broken = broken.select("chunk_id", "line", "kind", F.concat("l", "r").alias("form"), F.concat_ws("-", "l", "r").alias("alt"), F.lit("").alias("before"), F.lit("").alias("after"))
-    x = F.when(goes_on, F.regexp_replace("x", _ENDS_BROKEN, "")).otherwise(F.col("x"))
-    x = F.when(begun, F.regexp_replace(x, _BEGINS, "")).otherwise(x)
-    x = F.when(has_flat, F.regexp_replace(x, _FLAT, " ")).otherwise(x)
-    raw = each.select("chunk_id", "line", F.explode(with_neighbours(words(x), "w")).alias("t"))
-    raw = raw.select("chunk_id", "line", "t.w", F.lower("t.w").alias("f"), F.lower("t.before").alias("before"), F.lower("t.after").alias("after")).join(usual, "f", "left_anti")
-    year = (F.length("w") == 4) & F.col("w").rlike(_YEAR)
-    raw = raw.where(~F.col("w").rlike(r"^\d+$") & (year | ~F.col("w").rlike(_NUMBER_LIKE)))
-    # the case of a year's letters matters
-    raw = raw.select("chunk_id", "line", F.when(year, "year").otherwise("form").alias("kind"), F.when(year, F.col("w")).otherwise(F.col("f")).alias("form"), F.lit("").alias("alt"), "before", "after")
-    return broken.unionByName(raw)
+    known = rows.sparkSession.sparkContext.broadcast(frozenset(usual))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        right = known.value
+        for pdf in batches:
+            out = []
+            for c, t in zip(pdf["chunk_id"], pdf["text"]):
+                mine = set()
+                for n, line, ends, flat in whole_lines(t):
+                    for how, (left, mark, follow) in ([("hard", ends)] if ends else []) + [("flat", m) for m in flat]:
+                        left, follow = left.lstrip(_EDGE).lower(), follow.rstrip(_EDGE).lower()
+                        if any(x.isalpha() for x in left) and any(x.isalpha() for x in follow):
+                            mine.add((c, n, how if mark == "-" else "soft", left + follow, f"{left}-{follow}", "", ""))
+                    raw = [w for x in line.split() if (w := x.strip(_EDGE))]
+                    low = [w.lower() for w in raw]
+                    for i, f in enumerate(low):
+                        if f in right or f.isdigit():
+                            continue
+                        if len(f) == 4 and _YEAR.fullmatch(raw[i]):
+                            mine.add((c, n, "year", raw[i], "", "", ""))
+                        elif not _NUMBER_LIKE.fullmatch(raw[i]):
+                            mine.add((c, n, "form", f, "", low[i - 1] if i else "", low[i + 1] if i + 1 < len(low) else ""))
+                out += mine
+            yield pd.DataFrame(out, columns=["chunk_id", "line", "kind", "form", "alt", "before", "after"])
+
+    return rows.select("chunk_id", "text").mapInPandas(find, "chunk_id string, line int, kind string, form string, alt string, before string, after string")
 
 
 def candidates(forms: DataFrame, asked: DataFrame, short_ratio: float, long_ratio: float) -> DataFrame:
@@ -185,7 +232,7 @@ def candidates(forms: DataFrame, asked: DataFrame, short_ratio: float, long_rati
 
     forms (form, n, plain), asked (form, n, plain). Words are kept in tries by powers of four of their frequency, so a form is
     looked up only among words that are frequent enough: short_ratio or long_ratio times (8 letters and more), or any for forms with odd
-    characters. Bounded edits beside confusions: 0 up to 3 letters, 1 up to 7, then 2. Sure: confusions only, or one
+    characters. Bounded edits beside confusions: 0 up to 3 letters, 1 up to 9, then 2. Sure: confusions only, or one
     more edit in a longer form with odd characters; other candidates need neighbours that speak for them, 50 times the frequency,
     and a form that isn't the beginning or end of the word, as pieces of words are.
     """
@@ -196,7 +243,7 @@ def candidates(forms: DataFrame, asked: DataFrame, short_ratio: float, long_rati
     ratio = F.when(~F.col("plain"), 0.0).when(F.length("form") > 7, long_ratio).otherwise(short_ratio)
     asked = cut(asked.withColumn("need", F.greatest(F.lit(1.0), ratio * F.col("n"))).withColumn("reads", F.pandas_udf(lambda s: s.map(readings), "array<string>")("form")))
     asked = asked.withColumn("read", F.get("reads", F.lit(0)))
-    bound = F.when((F.length("as") < 4) | (F.col("i") > 0), 0).when(F.length("as") < 8, 1).otherwise(2)
+    bound = F.when((F.length("as") < 4) | (F.col("i") > 0), 0).when(F.length("as") < 10, 1).otherwise(2)
     tiers = F.sequence(F.least(tier(F.col("need")), F.lit(most)), F.lit(most)).cast("array<string>")
     sent = asked.select("form", tiers.alias("tiers"), F.posexplode("reads").alias("i", "as")).select("form", F.col("as"), bound.alias("bound"), F.explode("tiers").alias("key"))
     near = trie_join(known.select(F.col("tier").cast("string").alias("key"), F.col("form").alias("word")), sent.groupBy("key", F.col("as").alias("form")).agg(F.max("bound").alias("bound")), FOLD, PAIRS)
@@ -221,29 +268,32 @@ def noise_rows(chunks: DataFrame, frequent_share: float = 0.005, running_share:
     kind: line (furniture, item is its number), year, form (a misread word), soft, hard or flat (a broken word). frequent_share:
     words on a larger share of the texts are right.
     """
-    rows = chunks.where("text IS NOT NULL AND chunk_id IS NOT NULL").select("chunk_id", "source_id", F.col("page_or_doc_idx").alias("page"), "char_start", "char_end", "text")
+    rows = chunks.where("text IS NOT NULL AND chunk_id IS NOT NULL").select("track", "chunk_id", "source_id", F.col("page_or_doc_idx").alias("page"), "char_start", "char_end", "text")
     rows = spread(rows)
     gone = cut(furniture(rows, running_share, top, bottom))
-    forms = cut(forms_counted(rows))
-    limit = max(3.0, frequent_share * rows.count())
-    usual = _small(forms.where(F.col("plain") & (F.col("n") > limit)).select(F.col("form").alias("f")))
-    found = suspects(rows, usual)
-    found = found.join(gone, ["chunk_id", "line"], "left_anti")
+    # words are counted once a page: in the text that holds it whole, or in its pieces where there is none
+    of_page = rows.select("track", "source_id", "page").distinct()
+    pieces = _small(of_page.where("track != 'retrieval' OR track IS NULL").select("source_id", "page").exceptAll(of_page.where("track = 'retrieval'").select("source_id", "page")))
+    alone = rows.where("track != 'retrieval' OR track IS NULL").join(pieces, rows["source_id"].eqNullSafe(pieces["source_id"]) & rows["page"].eqNullSafe(pieces["page"]), "left_semi")
+    whole = rows.where("track = 'retrieval'").unionByName(alone)
+    counts = cut(counted(whole))
+    plain = F.pandas_udf(lambda f: f.map(is_plain), "boolean")
+    forms = cut(counts.where("kind = 'form'").select(F.col("a").alias("form"), "n", plain("a").alias("plain")))
+    limit = max(3.0, frequent_share * whole.count())
+    # at most the mean number of distinct words of a text / frequent_share
+    usual = [r["form"] for r in forms.where(F.col("plain") & (F.col("n") > limit)).select("form").collect()]
+    found = suspects(rows, usual).join(gone, ["chunk_id", "line"], "left_anti")
     # a word isn't broken where the next line is furniture
     cut_off = gone.select("chunk_id", (F.col("line") - 1).alias("line"), F.explode(F.array(F.lit("soft"), F.lit("hard"))).alias("kind"))
-    found = cut(found.join(cut_off, ["chunk_id", "line", "kind"], "left_anti").distinct())
+    found = cut(found.join(cut_off, ["chunk_id", "line", "kind"], "left_anti"))
 
     asked = found.where("kind != 'year'").select("form").distinct().join(forms, "form", "left")
-    asked = asked.select("form", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("plain", is_plain(F.col("form"))).alias("plain"))
+    asked = asked.select("form", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("plain", plain("form")).alias("plain"))
     options = cut(candidates(forms, asked, 20.0, 3.0))
     misread = found.where("kind = 'form'").join(options, "form")
-    # neighbours: of pairs of words only those count that an option needs
-    wanted = misread.select(F.xxhash64("before", "right").alias("pair")).union(misread.select(F.xxhash64("right", "after").alias("pair"))).distinct()
-    listed = rows.select(F.explode(F.split(F.lower("text"), "\n")).alias("x")).select(F.explode(with_neighbours(words(F.col("x")), "w")).alias("t")).where("t.after != ''")
-    pairs = listed.select(F.xxhash64("t.w", "t.after").alias("pair"))
-    pairs = cut(pairs.join(_small(wanted), "pair", "left_semi").groupBy("pair").agg(F.count(F.lit(1)).alias("times")))
-    times = lambda name: pairs.select(F.col("pair").alias(f"p{name}"), F.col("times").alias(name))
-    scored = misread.withColumn("pl", F.xxhash64("before", "right")).withColumn("pr", F.xxhash64("right", "after")).join(times("l"), "pl", "left").join(times("r"), "pr", "left")
+    pairs = counts.where("kind = 'pair'")
+    times = lambda name: pairs.select(F.col("a").alias(f"p{name}"), F.col("n").alias(name))
+    scored = misread.withColumn("pl", F.concat_ws(" ", "before", "right")).withColumn("pr", F.concat_ws(" ", "right", "after")).join(times("l"), "pl", "left").join(times("r"), "pr", "left")
     l, r = F.coalesce("l", F.lit(0)), F.coalesce("r", F.lit(0))
     score = 2 * F.log1p(l) + 2 * F.log1p(r) + F.log("pages") - 3 * F.col("weight")
     scored = scored.where(F.col("sure") | (l + r >= 2)).groupBy("chunk_id", "line", "form", "before", "after").agg(F.max(F.struct(score.alias("score"), "right")).alias("best"))
@@ -302,8 +352,8 @@ def reflow(text: str, noise: list[tuple[int, str, str, str]]) -> str:
                 paragraphs.append([])
             continue
         tail = ""
-        m = re.search(r"(\S*[\w@])[-­¬][ \t]*$", line)
-        follow = re.match(r"[ \t]*([\w@]\S*)", lines[n]) if n < len(lines) else None
+        m = _ENDS_BROKEN.search(line)
+        follow = _BEGINS.match(lines[n]) if n < len(lines) else None
         if n in joined and m and follow:
             taken = follow[1]
             core = m[1].lstrip(_EDGE)
@@ -321,10 +371,10 @@ def reflow(text: str, noise: list[tuple[int, str, str, str]]) -> str:
             new = flat.get((n, (core + m[3].rstrip(_EDGE)).lower()))
             return m[0] if new is None else m[1][: len(m[1]) - len(core)] + _cased(core, new) + m[3][len(m[3].rstrip(_EDGE)) :]
 
-        line = re.sub(r"(\S*[\w@])([-­¬]) ([a-zß-ÿ@0-9ıﬀ-ﬆ]\S*)", join, line)
+        line = _FLAT.sub(join, line)
         line = " ".join(_WORDS.sub(one, line).split())
         line = f"{line} {tail}".strip()
-        if re.match(r"\d+(?:\.\d+)+\s", line) or re.fullmatch(r"\D*\d[\d.,]*\s+\d[\d.,]*\s*", line):
+        if _HEADING.match(line) or _TABLE.fullmatch(line):
             paragraphs += [[line], []] if paragraphs[-1] else [[]]
             if len(paragraphs) > 1 and not paragraphs[-2]:
                 paragraphs[-2].append(line)

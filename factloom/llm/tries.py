@@ -132,7 +132,7 @@ class Trie:
 
     def __init__(self, words: list[str], fold: dict[str, str] | None = None, pairs: dict[str, str] | None = None):
         self.fold, self.pairs = fold, pairs
-        self.back_pairs = {k[::-1]: v for k, v in (pairs or {}).items()} or None
+        self.back_pairs = {k[::-1]: v for k, v in (pairs or {}).items()}
         self.root = trie_of(words)
         self.back: dict = {}
         for w in words:
@@ -144,11 +144,11 @@ class Trie:
     def near(self, word: str, bound: int) -> list[tuple[str, int]]:
         """(word, distance) of all words within the bound."""
         walk = automata(bound).walk
-        if bound < 2 or self.pairs:  # two characters for one may lie across the middle
+        if bound < 2:
             return walk(self.root, word, 0, self.fold, self.pairs)
         half = len(word) // 2
-        found = dict(walk(self.root, word, half, self.fold))
-        for w, d in walk(self.back, word[::-1], len(word) - half, self.fold):
+        found = dict(walk(self.root, word, half, self.fold, self.pairs))
+        for w, d in walk(self.back, word[::-1], len(word) - half, self.fold, self.back_pairs):
             found[w] = min(d, found.get(w, d))
         return list(found.items())
 
