@@ -27,14 +27,17 @@ def frequent_names(texts: DataFrame, share: float) -> list[str]:
 
 def normal_words(texts: DataFrame, names: list[str]) -> DataFrame:
     """Adds words (the tokens of a text) and last (its last token as it is written)."""
-    t = F.regexp_replace("text", r"\n(?=\s*[-*•]|\n)", " ¶ ")
-    t = F.regexp_replace(t, r"(?<![\d.])0[.,]$", "9.")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)\[\s*chunk\s+[^\]]*\]", f"[ Chunk {_CITED} ]"), r"(?i)\[\s*chunk\s+[^\]]*$", f"[ Chunk {_CITING}")
+    # most patterns concern few texts: those with a line break, a citation or such an end
+    t = F.when(F.col("text").contains("\n"), F.regexp_replace("text", r"\n(?=\s*[-*•]|\n)", " ¶ ")).otherwise(F.col("text"))
+    t = F.when(F.col("text").endswith("0.") | F.col("text").endswith("0,"), F.regexp_replace(t, r"(?<![\d.])0[.,]$", "9.")).otherwise(t)
+    cited = F.regexp_replace(F.regexp_replace(t, r"(?i)\[\s*chunk\s+[^\]]*\]", f"[ Chunk {_CITED} ]"), r"(?i)\[\s*chunk\s+[^\]]*$", f"[ Chunk {_CITING}")
+    t = F.when(F.lower("text").contains("chunk"), cited).otherwise(t)
     t = F.regexp_replace(F.regexp_replace(t, r"\d+(?:[.,]\d+)+|\d{5,}", "9.9"), r"(?<![\d.])\d(?![.]9)", "9")
     known = [*names, _NAME, "Chunk"]  # looked up in a hash set
     named = F.transform(F.regexp_extract_all(t, F.lit(_TOKEN), 0), lambda w: F.when(w.rlike(r"^\p{Lu}") & ~w.isin(*known), _NAME).otherwise(w))
     words = F.get(F.transform(F.array(named), lambda ws: F.filter(ws, lambda w, i: (w != _NAME) | (i == 0) | (F.get(ws, i - 1) != _NAME))), F.lit(0))
-    return texts.select("*", F.expr(r"regexp_extract(text, r'([\p{L}\p{M}]+|\d+(?:[.,]\d+)*|\S)$', 1)").alias("last"), words.alias("words"))
+    end = F.substring_index(F.translate("text", "\t\n\r\x0b\f", "     "), " ", -1)  # what stands after the last space
+    return texts.select("*", F.regexp_extract(end, r"([\p{L}\p{M}]+|\d+(?:[.,]\d+)*|\S)$", 1).alias("last"), words.alias("words"))
 
 
 _COUNTS = r"""
