@@ -337,12 +337,26 @@ def test_review_scores(spark):
 
 def test_unlabelled_risk_is_kept_from_going_below_zero():
     x = toxicity.Rows([[1, 3]] * 5 + [[2, 3]] * 40)
-    positive, unlabelled = np.array([1.0] * 5 + [0.0] * 40), np.array([0.0] * 5 + [1.0] * 40)
-    s = x.scores(*toxicity.fit_nnpu(x, positive, unlabelled, 0.5))
-    loss = np.logaddexp(0, s)
-    assert s[0] > s[-1] and loss[5:].mean() - 0.5 * loss[:5].mean() > -0.5  # without the bound it falls to -4 and on
-    same = toxicity.fit_nnpu(x, positive, np.ones(45), 0.5)
-    assert not np.allclose(x.scores(*same), s)
+    positive, unlabelled, prior = np.array([1.0] * 5 + [0.0] * 40)[:, None], np.array([0.0] * 5 + [1.0] * 40), np.array([0.5])
+    risk = lambda s: np.logaddexp(0, s)[5:].mean() - 0.5 * np.logaddexp(0, s)[:5].mean()
+    w, bias, acted = toxicity.fit_nnpu(x, positive, unlabelled, prior)
+    s = x.scores(w, bias)[:, 0]
+    w, bias, never = toxicity.fit_nnpu(x, positive, unlabelled, prior, clamp=False)
+    assert acted > 0 and never == 0 and s[0] > s[-1]
+    assert risk(s) > -0.5 > risk(x.scores(w, bias)[:, 0])  # without the bound it falls on and on
+    same = toxicity.fit_nnpu(x, positive, np.ones(45), prior)
+    assert not np.allclose(x.scores(*same[:2])[:, 0], s)
+
+
+def test_threshold_is_chosen_by_held_out_labels():
+    rng = random.Random(3)
+    fine = ["The board postponed the dividend.", "Shipments totalled 40 tonnes.", "The minutes were approved."]
+    texts = [f"{rng.choice(fine)} {rng.choice(fine)} {i}" + (" You are a worthless moron and everyone knows it." if i % 3 == 0 else "") for i in range(1500)]
+    labels = ["abusive" if i % 3 == 0 else "none" for i in range(1500)]
+    model, threshold = toxicity.Model.calibrated(texts, labels, texts[700:], 0.2)
+    found = model.score(texts).max(axis=1) >= threshold
+    assert threshold != 0.2 and np.mean(found == (np.array(labels) != "none")) > 0.99
+    assert toxicity.Model.calibrated(texts[:30], labels[:30], texts, 0.2)[1] == 0.2
 
 
 def test_reviewed_documents_are_no_negative_rows():
