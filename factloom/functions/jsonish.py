@@ -104,9 +104,9 @@ def entity_list(text: str | None, most: int = 24) -> list[str]:
 FACTS = "array<struct<subject: string, predicate: string, object: string, value: string, unit: string, timeframe: string, confidence: double>>"
 
 
-def facts_udf(x):
+def facts_udf(x, default_confidence: float = 0.76):
     """The facts of answers as a column. Made when it is used, since workers import this module without a session."""
-    return F.pandas_udf(lambda s: s.map(fact_rows), FACTS)(x)
+    return F.pandas_udf(lambda s: s.map(lambda t: fact_rows(t, default_confidence)), FACTS)(x)
 
 
 def entities_udf(x):

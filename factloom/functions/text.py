@@ -10,6 +10,7 @@ NOT_WS = r"[^\t\n\x0b\f\r \x{85}\p{Z}]"
 # Fixed values of the data model: words that stand for nothing, stop words, metric words.
 NULL_LIKE = ("", "none", "null", "n/a", "na", "unknown", "-", "--")
 INDEX_STOP = ("the", "and", "for", "with", "this", "that")
+LEXICAL_STOP = ("what", "which", "show", "give", "about", "from", "with", "this", "that", "the", "and")
 QUERY_STOP = ("what", "which", "show", "give", "about", "from", "with", "this", "that", "the", "and", "for", "how", "much")
 METRIC_HINTS = ("ebit", "ebitda", "revenue", "margin", "cash", "fcf", "capex", "volume", "guidance", "profit", "cost", "growth")
 PLAN_METRICS = ("ebit", "ebitda", "revenue", "margin", "cash", "fcf", "capex", "volume", "guidance", "profit")
@@ -53,6 +54,10 @@ def index_tokens(x: Column) -> Column:
     return _tokens(x, INDEX_STOP)
 
 
+def lexical_tokens(x: Column) -> Column:
+    return _tokens(x, LEXICAL_STOP)
+
+
 def query_tokens(x: Column) -> Column:
     return _tokens(x, QUERY_STOP)
 
@@ -160,7 +165,7 @@ def disk_size(n: Column) -> Column:
     """Bytes as B, KB, MB or GB with two decimals."""
     by = lambda p: F.format_string("%.2f", F.rint(n / F.lit(float(1024**p)) * 100) / 100)
     return (
-        F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
+        F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(".00 B")))
         .when(n < 1024**2, F.concat(by(1), F.lit(" KB")))
         .when(n < 1024**3, F.concat(by(2), F.lit(" MB")))
         .otherwise(F.concat(by(3), F.lit(" GB")))
@@ -180,27 +185,33 @@ def is_model_error(x: Column) -> Column:
     return blank(x).startswith("[ERROR]")
 
 
+# Fixed words of the rules.
+DANGLING = ("approximately", "around", "about", "due", "with", "to", "from", "and", "or")
+IMAGE_GOOD = "chart|graph|table|figure|trend|ebit|ebitda|revenue|profit|margin|volume|financial"
+IMAGE_BAD = "logo|icon|avatar|sprite|favicon|social|emoji"
+
+
 def should_continue(answer: Column, done_reason: Column) -> Column:
-    """Whether an answer stopped short: by its reason, its last mark, a dangling word, a short bullet or a short last line."""
-    t = F.regexp_replace(blank(answer), f"^{WS}+|{WS}+$", "")
-    last = F.trim(F.regexp_extract(t, r"([^\n]*)$", 1))
-    closed = last.rlike(r"[.!?\])}\"'`]$")
-    dangling = t.rlike(r"(?i)(?:^|[^a-z])(?:and|or|with|to|of|for|the|a|in|on|by|from)$")
-    bullet = last.rlike(r"^[-•*]") & (F.length(last) < 8)
-    short = (word_count(last) <= 3) & ~closed & (last != "")
-    return (F.lower(blank(done_reason)) == "length") | ((t != "") & (t.rlike("[:\\-•,]$") | F.lower(t).endswith("hero figures:") | dangling | bullet | short))
+    """Whether an answer stopped short: by its reason, its last mark, a dangling last word, a one-word bullet or a short last line."""
+    t = F.regexp_replace(blank(answer), rf"\A{WS}+|{WS}+\z", "")
+    last = F.regexp_replace(F.regexp_extract(t, r"([^\n]*)\z", 1), rf"\A{WS}+|{WS}+\z", "")
+    closed = last.rlike(r"[.!?\"'\])}]$")
+    dangling = ~closed & F.regexp_extract(F.lower(last), r"([a-z]+)[^a-z]*$", 1).isin(*DANGLING)
+    bullet = last.rlike(r"^[-*]\s+[A-Za-z0-9$%]{1,24}$")
+    short = (word_count(last) <= 3) & ~closed
+    return (F.lower(F.trim(blank(done_reason))) == "length") | ((t != "") & (t.rlike("[:\\-•,]\\z") | dangling | bullet | short))
 
 
 def image_score(url: Column, alt: Column, width: Column, height: Column) -> Column:
-    """Charts score high; logos, icons and tiny images low."""
+    """Charts and figures score high, large images higher; logos, icons and tiny images low. Null texts are empty."""
     text = F.lower(F.concat_ws(" ", blank(url), blank(alt)))
     w, h = lenient_int(width), lenient_int(height)
     return (
-        F.when(text.rlike("chart|graph|figure|diagram|plot|table|infographic"), 4.0).otherwise(0.0)
-        - F.when(text.rlike("logo|icon|avatar|sprite|banner"), 5.0).otherwise(0.0)
-        + F.when((w >= 320) & (h >= 180), 1.4).otherwise(0.0)
-        - F.when(((w > 0) & (w < 80)) | ((h > 0) & (h < 80)), 2.2).otherwise(0.0)
-        - F.when(F.lower(blank(url)).rlike(r"\.svg(?:\?|$)"), 1.5).otherwise(0.0)
+        F.when(text.rlike(IMAGE_GOOD), 4.0).otherwise(0.0)
+        - F.when(text.rlike(IMAGE_BAD), 5.0).otherwise(0.0)
+        + F.when((w >= 380) | (h >= 250), 1.4).otherwise(0.0)
+        - F.when((w != 0) & (h != 0) & (w < 90) & (h < 90), 2.2).otherwise(0.0)
+        - F.when(F.lower(blank(url)).endswith(".svg"), 1.5).otherwise(0.0)
     )
 
 
@@ -214,12 +225,23 @@ def timeline_object(x: Column) -> Column:
 
 
 def insight_bullets(x: Column) -> Column:
-    lines = F.transform(F.split(blank(x), "\n"), lambda s: F.trim(s))
-    return F.slice(F.transform(F.filter(lines, lambda s: s.rlike("^[-•*] ")), lambda s: F.trim(F.substr(s, F.lit(3)))), 1, 8)
+    """The first eight lines that begin with "- ", "* " or a round bullet, without the mark."""
+    lines = F.transform(F.split(blank(x), "\n"), lambda s: F.regexp_replace(s, rf"\A{WS}+|{WS}+\z", ""))
+    kept = F.filter(lines, lambda s: s.startswith("- ") | s.startswith("* ") | s.startswith("•"))
+    return F.slice(F.transform(kept, lambda s: F.regexp_replace(F.regexp_replace(s, r"\A[-*• ]+", ""), rf"\A{WS}+|{WS}+\z", "")), 1, 8)
 
 
 def main_answer(x: Column) -> Column:
-    return F.trim(F.split(blank(x), r"(?i)\n\s*(?:key insights?|insights?)\s*:\s*", 2)[0])
+    strip = lambda s: F.regexp_replace(s, rf"\A{WS}+|{WS}+\z", "")
+    return strip(F.split(strip(blank(x)), r"(?i)\n\s*(?:key insights?|insights?)\s*:\s*", 2)[0])
+
+
+def message_sources(content: Column, figures: Column) -> Column:
+    """The marks [Chunk id] and [Graph] of a message and the sources of its figures, in order, each once in any case."""
+    marks = F.regexp_extract_all(blank(content), F.lit(r"(?i)\[(?:Chunk\s*[^\]]+|Graph)\]"), 0)
+    every = F.concat(marks, F.filter(F.transform(figures, lambda x: F.trim(blank(x))), lambda x: x != ""))
+    low = F.transform(every, lambda x: F.lower(F.trim(x)))
+    return F.transform(F.filter(every, lambda x, i: F.array_position(low, F.lower(F.trim(x))) == i + 1), lambda x: F.trim(x))
 
 
 def slim_context(x: Column, most_chars: int = 1800, most_lines: int = 18) -> Column:

@@ -8,15 +8,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import clean_entity, name_key, normalize_ws, query_tokens
+from factloom.functions.text import NULL_LIKE, blank, clean_entity, name_key, normalize_ws
 from factloom.session import cut
 
 
+#: Fixed words that a keyword search passes over.
+KEYWORD_STOP = ("what", "which", "show", "give", "about", "from", "with", "this", "that", "the")
+
+
+def token_hits(nodes: DataFrame, q: DataFrame) -> DataFrame:
+    """(nodes' columns, qid, q, overlap): nodes (id, ...) in which some token of a question (qid, q, toks) stands, and how many do.
+
+    A token may stand inside a longer word of a node. Nodes are compared once with each distinct token, not with each question.
+    """
+    words = q.select(F.explode("toks").alias("tok"), "qid", "q")
+    each = words.groupBy("tok", "qid", "q").agg(F.count(F.lit(1)).alias("times"))
+    found = nodes.join(F.broadcast(words.select("tok").distinct()), F.lower("id").contains(F.col("tok")))
+    return found.join(F.broadcast(each), "tok").groupBy(*nodes.columns, "qid", "q").agg(F.sum("times").alias("overlap"))
+
+
 def aliases_exact(facts: DataFrame) -> DataFrame:
-    """(key, rep): of each entity key the spelling that comes first, by seq, the subject before the object."""
+    """(key, rep): of each entity key the spelling that comes first, by seq, the subject before the object. Names without a key keep their own."""
     both = facts.select(F.explode(F.array(*(F.struct(clean_entity(F.col(c)).alias("name"), F.col("seq"), F.lit(i).alias("place")) for i, c in enumerate(("subject", "object"))))).alias("e"))
     both = both.select("e.*").where("name != ''").withColumn("key", name_key(F.col("name")))
-    return both.groupBy("key").agg(F.min_by("name", F.struct("seq", "place")).alias("rep"))
+    return both.where("key != ''").groupBy("key").agg(F.min_by("name", F.struct("seq", "place")).alias("rep"))
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -83,19 +98,20 @@ def similar_keys(keys: DataFrame, threshold: int = 92) -> DataFrame:
     return pairs.select(F.col("a").alias("key"), F.col("b").alias("other"), "score").union(pairs.select("b", "a", "score")).distinct()
 
 
-def aliases_fuzzy(facts: DataFrame, threshold: int = 92, most_rounds: int = 50) -> DataFrame:
+def aliases_fuzzy(facts: DataFrame, threshold: int = 92) -> DataFrame:
     """(key, rep): keys in order of arrival join the most similar earlier representative of ratio >= threshold, else are one themselves.
 
     That order is a fold, computed in rounds: a key all of whose earlier neighbours are known to be no representatives is
-    one; a key with a representative among them is none. Every round settles at least the first open key of each cluster.
+    one; a key with a representative among them is none. Every round settles at least the first open key of each cluster, so
+    the rounds end.
     """
     first = facts.select(F.explode(F.array(*(F.struct(clean_entity(F.col(c)).alias("name"), (F.col("seq") * 2 + i).alias("at")) for i, c in enumerate(("subject", "object"))))).alias("e"))
-    first = first.select("e.*").where("name != ''").withColumn("key", name_key(F.col("name"))).groupBy("key").agg(F.min_by("name", "at").alias("rep"), F.min("at").alias("at"))
+    first = first.select("e.*").where("name != ''").withColumn("key", name_key(F.col("name"))).where("key != ''").groupBy("key").agg(F.min_by("name", "at").alias("rep"), F.min("at").alias("at"))
     first = cut(first)
     order = first.select(F.col("key").alias("other"), F.col("at").alias("other_at"))
-    links = cut(similar_keys(first.where("key != ''"), threshold).join(first.select("key", "at"), "key").join(order, "other").where("other_at < at"))
+    links = cut(similar_keys(first, threshold).join(first.select("key", "at"), "key").join(order, "other").where("other_at < at"))
     state = cut(links.select("key").union(links.select("other")).distinct().withColumn("is_rep", F.lit(None).cast("boolean")))
-    for _ in range(most_rounds):
+    while True:
         seen = links.join(state.select(F.col("key").alias("other"), F.col("is_rep").alias("r")), "other").groupBy("key").agg(F.max("r").alias("some"), F.count_if(F.col("r").isNull()).alias("open"))
         new = F.when(F.col("some"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
         state = cut(state.join(seen, "key", "left").select("key", F.coalesce("is_rep", new).alias("is_rep")))
@@ -120,6 +136,7 @@ def canonical_facts(facts: DataFrame, aliases: DataFrame | None = None, most_ref
         *(normalize_ws(F.col(c)).alias(c) for c in ("value", "unit", "timeframe", "source_ref")), F.coalesce(F.nanvl("confidence", F.lit(0.0)), F.lit(0.0)).alias("confidence"),
     )
     f = cut(f.withColumn("k1", name_key(F.col("s0"))).withColumn("k2", name_key(F.col("o0")))).where("s0 != '' AND predicate != '' AND o0 != ''")  # filtered after the cut, so that names are cleaned once
+    f = f.where(~F.lower("s0").isin(*NULL_LIKE) & ~F.lower("o0").isin(*NULL_LIKE)).withColumn("predicate", F.btrim("predicate", F.lit(" ,;:")))  # "unknown;" is null too
     a = aliases.select(F.col("key").alias("k1"), F.col("rep").alias("subject"))
     b = aliases.select(F.col("key").alias("k2"), F.col("rep").alias("object"))
     f = f.join(a, "k1", "left").join(b, "k2", "left").withColumn("subject", F.coalesce("subject", "s0")).withColumn("object", F.coalesce("object", "o0"))
@@ -168,13 +185,15 @@ def neighbours(e: DataFrame, seeds: DataFrame, most: int = 120) -> DataFrame:
 
 
 def keyword_nodes(degrees: DataFrame, asked: DataFrame, most: int = 18) -> DataFrame:
-    """(qid, id, score, rank): 4 if the question holds the node, 0.9 for each shared token to 3, 0.03 for each edge to 1.2."""
-    q = asked.select("qid", F.lower(normalize_ws(F.col("question"))).alias("q")).withColumn("toks", F.array_distinct(query_tokens(F.col("q"))))
-    low = F.lower("id")
-    hit = F.broadcast(q)
-    overlap = F.size(F.filter("toks", lambda t: low.contains(t)))
-    inside = F.col("q").contains(low)
-    pairs = degrees.join(hit, inside | F.exists("toks", lambda t: low.contains(t)))
-    score = F.when(inside, 4.0).otherwise(0.0) + F.least(F.lit(3.0), overlap * F.lit(0.9)) + F.least(F.lit(1.2), F.col("degree") * F.lit(0.03))
+    """(qid, id, score, rank): 4 if the node holds the question, 0.9 for each token in it to 3, 0.03 for each edge to 1.2.
+
+    Repeated tokens of a question count again. Nodes meet the tokens of all questions, which are broadcast as distinct words, and
+    each meets the questions of its tokens only; a node that holds the whole question holds its tokens.
+    """
+    q = asked.select("qid", F.lower(F.trim(blank(F.col("question")))).alias("q")).where("q != ''")
+    q = q.withColumn("toks", F.filter(F.regexp_extract_all("q", F.lit("[a-z0-9]{2,}"), 0), lambda t: ~t.isin(*KEYWORD_STOP)))
+    pairs = token_hits(degrees.select("id", "degree"), q)
+    score = F.when(F.lower("id").contains(F.col("q")), 4.0).otherwise(0.0) + F.least(F.lit(3.0), F.col("overlap") * F.lit(0.9))
+    score = score + F.least(F.lit(1.2), F.col("degree") * F.lit(0.03))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return pairs.select("qid", "id", F.round(score, 6).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

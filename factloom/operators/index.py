@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import METRIC_HINTS, blank, index_tokens
@@ -30,20 +32,26 @@ def bm25_stats(chunks: DataFrame, post: DataFrame) -> tuple[DataFrame, DataFrame
     return size, raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
 
 
-def bm25_scores(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+def bm25_of_postings(asked: DataFrame, post: DataFrame, idf: DataFrame, size: DataFrame) -> DataFrame:
     """(qid, pos, score) of the chunks that share a term with a question (qid, question); repeated words count again.
 
     Only postings of the questions' terms take part: the stated set of questions is broadcast and filters them first.
     """
-    post = postings(chunks)
-    size, idf = bm25_stats(chunks, post)
     terms = asked.select("qid", F.explode(index_tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = post.join(F.broadcast(terms), "term").join(idf, "term").crossJoin(F.broadcast(size))
+    terms = F.broadcast(terms.join(F.broadcast(idf.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")), "term"))
+    hits = post.join(terms, "term").crossJoin(F.broadcast(size))  # size is one row
     tf = F.col("tf").cast("double")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("qid", "pos").agg(F.sum(part).alias("score"))
 
 
+def bm25_scores(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """bm25_of_postings of chunks that aren't indexed."""
+    post = postings(chunks)
+    size, idf = bm25_stats(chunks, post)
+    return bm25_of_postings(asked, post, idf, size)
+
+
 def metric_tags(chunks: DataFrame) -> DataFrame:
     """(key, pos): metric words of each chunk, once."""
     words = F.array_distinct(F.filter(index_tokens(F.col("text")), lambda t: t.isin(*METRIC_HINTS)))
@@ -114,3 +122,54 @@ def hashed_vectors(texts: DataFrame, text: str, dim: int = 64) -> DataFrame:
         return pd.Series(list(out))
 
     return texts.withColumn("embedding", F.pandas_udf(encode, "array<float>")(index_tokens(F.col(text))))
+
+
+@dataclass
+class Index:
+    """A built index: chunks (pos, chunk_id, source_id, text), postings, terms (term, df, idf), size (n, avgdl), tags (kind, key, pos), vectors."""
+
+    chunks: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    size: DataFrame
+    tags: DataFrame
+    vectors: DataFrame
+
+    PARTS = ("chunks", "postings", "terms", "size", "tags", "vectors")
+    BUCKETS = 16
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame] | None = None) -> Index:
+        """Writes the tables of an index of chunks (pos, chunk_id, source_id, text) to a shared folder and reads them back.
+
+        Postings are sorted by term within buckets of its hash, so a question reads a few row groups of them. encode adds
+        the column embedding; the hashed words stand in for it.
+        """
+        spark = chunks.sparkSession
+        chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+        kept = spark.read.parquet(f"{path}/chunks")
+        bucket = F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")
+        postings(kept).withColumn("bucket", bucket).repartition(cls.BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").parquet(f"{path}/postings")
+        post = spark.read.parquet(f"{path}/postings")
+        # the length of every chunk stands in its postings; a chunk without terms has none
+        lengths = kept.select("pos").join(post.groupBy("pos").agg(F.first("dl").alias("dl")), "pos", "left")
+        lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/size")
+        size = spark.read.parquet(f"{path}/size")
+        df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))
+        df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + F.lit(0.5))).select("term", "df", "raw").write.mode("overwrite").parquet(f"{path}/terms")
+        tags = metric_tags(kept).select(F.lit("metric").alias("kind"), "key", "pos").unionByName(entity_tags(kept).select(F.lit("entity").alias("kind"), "key", "pos"))
+        tags.repartition(cls.BUCKETS, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/tags")
+        vectors = encode(kept) if encode else hashed_vectors(kept, "text")
+        vectors.select("pos", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
+        return cls.load(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        parts = {p: spark.read.parquet(f"{path}/{p}") for p in cls.PARTS}
+        mean = parts["terms"].agg(F.avg("raw").alias("mean"))
+        idf = F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw"))
+        parts["terms"] = parts["terms"].crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
+        return cls(**parts)
+
+    def bm25(self, asked: DataFrame) -> DataFrame:
+        return bm25_of_postings(asked, self.postings, self.terms, self.size)

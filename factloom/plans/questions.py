@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import PLAN_METRICS, normalize_ws, ordered_distinct, query_tokens
+from factloom.operators.graph import token_hits
 
 #: Sample questions, for the registered queries and the benchmark.
 QUESTIONS = (
@@ -29,8 +30,27 @@ _TREND = ("trend", "over time", "from", "to", "quarter", "q1", "q2", "q3", "q4")
 _DRIVER = ("why", "driver", "reason", "cause")
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i + 1, q) for i, q in enumerate(QUESTIONS)], "qid int, question string")
+#: What may be asked about a fact: a predicate of plain words with a number, or years before or after something.
+_MEASURED = "reported_|annual_|energy_|route_|tank_|cargo_|contract_"
+
+
+def questions(facts: DataFrame) -> DataFrame:
+    """(qid, question): the sample questions, and of each source one about its first measured fact and one about its first distance in years.
+
+    As many as there are sources, twice, however many facts there are.
+    """
+    spark = facts.sparkSession
+    sample = spark.createDataFrame([(i + 1, q) for i, q in enumerate(QUESTIONS)], "qid int, question string")
+    f = facts.where("source_id IS NOT NULL AND trim(coalesce(subject, '')) != '' AND trim(coalesce(object, '')) != ''")
+    first = lambda cond, *cols: F.min(F.when(cond, F.struct("seq", *cols)))
+    timed = F.col("predicate").rlike(f"^(?:{_MEASURED})[a-z_]+$") & F.coalesce(F.col("timeframe"), F.lit("")).rlike(r"\d")
+    years = F.col("predicate").rlike("^occurs_years_(?:before|after)$")
+    per = f.groupBy("source_id").agg(first(timed, "subject", "predicate", "timeframe").alias("m"), first(years, "subject", "object").alias("y"))
+    per = per.withColumn("n", F.row_number().over(Window.orderBy("source_id")))  # one row for each source
+    what = F.concat(F.lit("What was the "), F.regexp_replace(F.regexp_replace("m.predicate", "^reported_", ""), "_", " "), F.lit(" of "), "m.subject", F.lit(" in "), "m.timeframe", F.lit("?"))
+    between = F.concat(F.lit("How many years are between "), "y.subject", F.lit(" and "), "y.object", F.lit("?"))
+    asked = per.select(F.explode(F.array(F.struct((2 * F.col("n") + len(QUESTIONS) - 1).alias("qid"), what.alias("question")), F.struct((2 * F.col("n") + len(QUESTIONS)).alias("qid"), between.alias("question")))).alias("q"))
+    return sample.unionByName(asked.select(F.col("q.qid").cast("int").alias("qid"), "q.question").where("question IS NOT NULL"))
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -70,13 +90,14 @@ def plan_timeframe(question: Column) -> Column:
 
 
 def enrichment_timeframe(question: Column) -> Column:
-    """Years as in an intent, else a quarter or half with its year, else a quarter or half."""
-    q = F.upper(question)
-    part = F.regexp_extract(q, r"\b([QH][1-4])\s*,?\s*((?:19|20)\d{2})\b", 1)
-    year = F.regexp_extract(q, r"\b([QH][1-4])\s*,?\s*((?:19|20)\d{2})\b", 2)
-    alone = F.regexp_extract(q, r"\b(Q[1-4]|H[12])\b", 1)
-    base = intent_timeframe(question)
-    return F.when(part != "", F.concat_ws(" ", part, year)).when(base.rlike(r"^\d"), base).when(alone != "", alone).otherwise("unspecified")
+    """First and last of several years, a year with the first quarter, a year, the first quarter or half, or "unspecified"."""
+    years = F.array_sort(F.array_distinct(_found(question, r"\b(?:19|20)\d{2}\b")))
+    quarters, halves = _found(F.upper(question), r"\bQ[1-4]\b"), _found(F.upper(question), r"\bH[12]\b")
+    first = lambda xs: F.get(xs, F.lit(0))
+    return (
+        F.when(F.size(years) > 1, F.concat_ws("-", first(years), F.element_at(years, -1))).when((F.size(years) == 1) & (F.size(quarters) > 0), F.concat_ws(" ", first(quarters), first(years)))
+        .when(F.size(years) == 1, first(years)).when(F.size(quarters) > 0, first(quarters)).when(F.size(halves) > 0, first(halves)).otherwise("unspecified")
+    )
 
 
 def with_intent(df: DataFrame) -> DataFrame:
@@ -108,15 +129,19 @@ def with_intent(df: DataFrame) -> DataFrame:
 def entity_hits(asked: DataFrame, nodes: DataFrame, most: int = 8) -> DataFrame:
     """(qid, id, score, rank): graph nodes that a question names: 5 if one holds the other, 1 for each token in the node.
 
-    Candidates share a token with the question or are part of it, so only those are scored: nodes are joined by their
-    tokens, not crossed with the questions. Of equal scores the smaller id comes first.
+    Repeated tokens count again. Nodes meet each distinct token of all questions once; those without such a token that a question holds as a
+    whole are found by equality with its parts. Of equal scores the smaller id comes first.
     """
-    q = asked.select("qid", F.lower(normalize_ws(F.col("question"))).alias("q")).withColumn("toks", F.array_distinct(query_tokens(F.col("q"))))
-    by_token = q.select("qid", "q", F.explode("toks").alias("tok"))
-    # a token may stand inside a longer word of a node, so words are joined by containment within a broadcast of the questions' tokens
-    tokens = F.broadcast(by_token.select("tok").distinct())
-    named = nodes.select("id", F.lower("id").alias("low")).join(tokens, F.col("low").contains(F.col("tok")))
-    pairs = named.join(F.broadcast(by_token), "tok").groupBy("qid", "q", "id", "low").agg(F.count(F.lit(1)).alias("overlap"))
+    q = asked.select("qid", F.lower(normalize_ws(F.col("question"))).alias("q")).withColumn("toks", query_tokens(F.col("q"))).where("q != ''")
+    found = token_hits(nodes.select("id"), q)
+    low = nodes.select("id", F.lower("id").alias("low")).where("low != ''")
+    n = F.length("q")
+    starts = q.select("qid", "q", F.explode(F.sequence(F.lit(1), n)).alias("i")).select("qid", "q", "i", F.explode(F.sequence(F.lit(1), n - F.col("i") + 1)).alias("k"))
+    parts = starts.select("qid", "q", F.expr("substring(q, i, k)").alias("low")).distinct()
+    inside = low.join(parts, "low").select("id", "qid", "q", F.lit(0).cast("long").alias("overlap"))
+    # a question without a token is in a node as a whole only
+    bare = low.join(F.broadcast(q.where("size(toks) = 0")), F.col("low").contains(F.col("q"))).select("id", "qid", "q", F.lit(0).cast("long").alias("overlap"))
+    pairs = found.unionByName(inside).unionByName(bare).groupBy("id", "qid", "q").agg(F.max("overlap").alias("overlap")).withColumn("low", F.lower("id"))
     scored = pairs.withColumn("score", F.col("overlap") + F.when(F.col("q").contains(F.col("low")) | F.col("low").contains(F.col("q")), 5).otherwise(0))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.where("score > 1").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("qid", "id", "score", "rank")
@@ -131,12 +156,52 @@ def query_plans(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     df = df.join(hits, "qid", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
     return df.select(
         "qid", F.col("intent_labels").alias("intents"), plan_timeframe(F.col("normalized_question")).alias("timeframe"),
-        F.slice(ordered_distinct(F.concat("hits", "comparison_anchors")), 1, 8).alias("entities"), metrics.alias("metrics"),
+        F.slice(F.concat("hits", F.filter("comparison_anchors", lambda a: ~F.array_contains(F.transform("hits", lambda h: F.lower(h)), F.lower(a)))), 1, 8).alias("entities"), metrics.alias("metrics"),
         "comparison_anchors", "requires_derivation", "derivation_type", "canonical_retrieval_query",
     )
 
 
-def enrichment(plans: DataFrame) -> DataFrame:
-    """(qid, enrichment): a line that says what a plan knows of its question."""
+# Fixed keyword lists of the enrichment, where a question has no intent yet.
+_ENRICH_METRICS = ("ebit", "ebitda", "revenue", "profit", "margin", "volume", "carry", "container", "number", "how much")
+_ENRICH_TREND = ("trend", "over time", "from", "to", "year", "quarter", "q1", "q2", "q3", "q4")
+_NO_ENTITY = ("what", "which", "how", "full", "year")
+
+
+def inferred_intents(question: Column) -> Column:
+    """Up to three labels by keywords alone."""
+    low = F.lower(question)
+    pairs = ((_SUMMARY, "summarize_document"), (_ENRICH_METRICS, "extract_key_metrics"), (_COMPARE, "compare_values"), (_ENRICH_TREND, "trend_check"), (_DRIVER, "driver_analysis"))
+    labels = F.array_compact(F.array(*(F.when(_any(low, words), F.lit(name)) for words, name in pairs)))
+    return F.when(F.size(labels) > 0, F.slice(labels, 1, 3)).otherwise(F.array(F.lit("direct_lookup")))
+
+
+def inferred_entities(question: Column, hits: Column) -> Column:
+    """The first three of the first six graph hits, then of the capitalised words of the question, each once in any case."""
+    first = F.slice(ordered_distinct(F.slice(hits, 1, 6)), 1, 3)
+    words = F.filter(_found(question, r"\b[A-Z][A-Za-z0-9&\.\-]{2,}\b"), lambda w: ~F.lower(w).isin(*_NO_ENTITY))
+    return F.slice(ordered_distinct(F.concat(first, words)), 1, 3)
+
+
+def enrichment(asked: DataFrame, hits: DataFrame, with_hint: bool = True) -> DataFrame:
+    """What is added to a question before it is answered, for questions (qid, question) and graph hits (qid, id, rank).
+
+    With the intent as a hint its labels, timeframe and anchors count; without, they are inferred by keywords. use says whether
+    there is anything to add, summary says it in a line.
+    """
+    listed = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("hits"))
+    df = with_intent(asked.select("qid", "question")).join(listed, "qid", "left")
+    q, none = F.coalesce(F.col("question"), F.lit("")), F.array().cast("array<string>")
+    intents = F.col("intent_labels") if with_hint else inferred_intents(q)
+    anchors = F.col("comparison_anchors") if with_hint else none
+    entities = F.slice(ordered_distinct(F.concat(inferred_entities(q, F.coalesce("hits", none)), anchors)), 1, 4)
+    df = df.select(
+        "qid", (F.col("normalized_question") if with_hint else q).alias("enriched_question"), entities.alias("key_entities"), intents.alias("insight_intents"), (F.col("timeframe") if with_hint else enrichment_timeframe(q)).alias("timeframe"), anchors.alias("anchors"),
+        F.arrays_overlap(intents, F.array(F.lit("trend_check"), F.lit("compare_values"))).alias("should_visualize"),
+    )
+    hint = F.when(F.array_contains("insight_intents", "trend_check"), "line").when(F.col("should_visualize"), "bar").otherwise("none")
     part = lambda name, x: F.when(x != "", F.concat(F.lit(f"{name}: "), x))
-    return plans.select("qid", F.concat_ws(" | ", part("intent", F.array_join("intents", ", ")), part("timeframe", F.when(F.col("timeframe") == "unspecified", "").otherwise(F.col("timeframe"))), part("entities", F.array_join(F.slice("entities", 1, 3), ", "))).alias("enrichment"))
+    known = F.when(F.lower("timeframe") != "unspecified", F.col("timeframe")).otherwise("")
+    said = F.concat_ws(" | ", part("Intent", F.array_join(F.slice("insight_intents", 1, 2), ", ")), part("Focus", F.array_join(F.slice("key_entities", 1, 2), ", ")), part("Timeframe", known), part("Viz", F.when(F.col("viz") != "none", F.col("viz")).otherwise("")))
+    told = F.array(*(F.lit(x) for x in ("compare_values", "trend_check", "driver_analysis", "extract_key_metrics", "summarize_document")))
+    use = F.arrays_overlap("insight_intents", told) | (F.size("key_entities") > 0) | (known != "") | (F.col("viz") != "none")
+    return df.withColumn("viz", hint).withColumn("use", use).withColumn("summary", said)

@@ -83,7 +83,7 @@ def html_blocks(pages: DataFrame, most: int = 3500) -> DataFrame:
             out = []
             for url, html in zip(pdf["url"], pdf["html"]):
                 p = _read(html, most)
-                texts = [" ".join("".join(parts).split()) for main, parts in p.blocks if main or not p.mains]
+                texts = [" ".join(" ".join(parts).split()) for main, parts in p.blocks if main or not p.mains]  # parts of a block stand apart
                 head = [f"{k}: {' '.join(v.split())}" for k, v in (("Title", p.title), ("Summary", p.summary)) if v.strip()]
                 out += [(url, n, t) for n, t in enumerate([*head, *(t for t in texts if t)])]
             yield pd.DataFrame(out, columns=["url", "n", "block"])
@@ -97,8 +97,11 @@ def plain_text(html: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]+>", " "), WS + "+", " "))
 
 
-def text_segments(blocks: DataFrame, most_chars: int = 2500, least: int = 70) -> DataFrame:
-    """(url, segment, text): neighbouring blocks packed into segments; short ones only if they are a title or summary; no block twice."""
+def text_segments(blocks: DataFrame, most_chars: int = 2500, least: int = 70, least_whole: int = 10) -> DataFrame:
+    """(url, segment, text): neighbouring blocks packed into segments; short ones only if they are a title or summary; no block twice.
+
+    A page of short blocks only is one segment of all of them, if that has least_whole characters.
+    """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         url, held, size, number = None, [], 0, 0
@@ -108,8 +111,9 @@ def text_segments(blocks: DataFrame, most_chars: int = 2500, least: int = 70) ->
                 if u != url or (held and size + len(t) + 1 > most_chars):
                     if held:
                         out.append((url, number, "\n".join(held)))
+                    size = 0 if u != url else -1  # the first block after a full segment counts without its line break
                     number = 0 if u != url else number + 1
-                    url, held, size = u, [], 0
+                    url, held = u, []
                 held.append(t)
                 size += len(t) + 1
             yield pd.DataFrame(out, columns=["url", "segment", "text"])
@@ -117,6 +121,9 @@ def text_segments(blocks: DataFrame, most_chars: int = 2500, least: int = 70) ->
 
     low = F.lower("block")
     kept = blocks.where((F.length("block") >= least) | low.startswith("title:") | low.startswith("summary:"))
+    # squeezed, as one block
+    short = blocks.join(kept.select("url").distinct(), "url", "left_anti").groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), " ").alias("block"))
+    kept = kept.select("url", "n", "block").unionByName(short.where(F.length("block") >= least_whole).select("url", F.lit(0).alias("n"), "block"))
     first = kept.groupBy("url", low.alias("low")).agg(F.min_by("block", "n").alias("block"), F.min("n").alias("n"))
     return first.repartition("url").sortWithinPartitions("url", "n").select("url", "block").mapInPandas(fold, "url string, segment int, text string")
 
@@ -124,7 +131,7 @@ def text_segments(blocks: DataFrame, most_chars: int = 2500, least: int = 70) ->
 def image_candidates(pages: DataFrame, most: int = 20) -> DataFrame:
     """(url, src, alt, width, height, score, rank): absolute, distinct images of a page by score.
 
-    Those over 0 up to three times `most`, or else the best two of the page, as a shortlist to fetch from.
+    Those over 0 up to three times `most`, or else the best of the page up to twice `most`, as a shortlist to fetch from.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,7 +141,7 @@ def image_candidates(pages: DataFrame, most: int = 20) -> DataFrame:
                 for n, a in enumerate(_read(html, 3500).images):
                     src = (a.get("src") or a.get("data-src") or a.get("data-original") or "").strip()
                     if src and not src.startswith("data:"):
-                        out.append((url, n, urljoin(url or "", src), a.get("alt", ""), a.get("width", ""), a.get("height", "")))
+                        out.append((url, n, urljoin(url or "", src), " ".join(a.get("alt", "").split()), a.get("width", ""), a.get("height", "")))
             yield pd.DataFrame(out, columns=["url", "n", "src", "alt", "width", "height"])
 
     rows = spread(pages.select("url", "html")).mapInPandas(parse, "url string, n int, src string, alt string, width string, height string")
@@ -143,10 +150,10 @@ def image_candidates(pages: DataFrame, most: int = 20) -> DataFrame:
 
 
 def shortlist(rows: DataFrame, most: int = 20) -> DataFrame:
-    """Images by score: those over 0, three times `most` at most; a page without any gives its two best."""
+    """Images by score: those over 0, three times `most` at most; a page without any gives its best, twice `most` at most."""
     w = Window.partitionBy("url").orderBy(F.desc("score"), "n")
     rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("best", F.max("score").over(Window.partitionBy("url")))
-    keep = F.when(F.col("best") > 0, (F.col("score") > 0) & (F.col("rank") <= 3 * most)).otherwise(F.col("rank") <= 2)
+    keep = F.when(F.col("best") > 0, (F.col("score") > 0) & (F.col("rank") <= 3 * most)).otherwise(F.col("rank") <= 2 * most)
     return rows.where(keep).select("url", "src", "alt", lenient_int(F.col("width")).alias("width"), lenient_int(F.col("height")).alias("height"), "score", "rank")
 
 

@@ -50,3 +50,24 @@ def test_artifacts():
     assert (a["content"], a["viz_type"], len(a["viz"]), a["figures"][0]["label"]) == ("Text.", "line", 2, "h")
     assert artifacts(None)["content"] == ""
     assert artifacts('Left {"data": {"x": 1}} over')["viz"] == [{"label": "x", "value": "1"}]
+
+
+def test_answers_that_go_on(spark):
+    rows = [("", "length", True), ("", "stop", False), ("Done.", "stop", False), ("It is about", "", True), ("It is about.", "", False), ("one two three four of the", "", False), ("three short words", "", True), ("a list:", "", True), ("x, y,", "", True),
+            ("- Revenue", "", True), ("- Revenue grew a lot in the year", "", False), ("long enough line that ends due 5", "", True), ("quoted `code`", "", True), ("hero figures:", "", True), ("many words stand here with", "", True)]
+    df = spark.createDataFrame([r[:2] for r in rows], "a string, r string")
+    assert [x[0] for x in df.select(T.should_continue(F.col("a"), F.col("r"))).collect()] == [r[2] for r in rows]
+
+
+def test_image_scores(spark):
+    rows = [("x/chart.png", "", "640", "480", 5.4), ("logo.svg", None, "50", "50", -8.7), ("a.jpg", "EBITDA trend", "10", "300", 5.4), ("plot.png", "", "379", "249", 0.0), ("icon.svg?x", "", "0", "50", -5.0), ("b.png", "", "80", "95", 0.0)]
+    df = spark.createDataFrame([r[:4] for r in rows], "u string, a string, w string, h string")
+    assert [x[0] for x in df.select(T.image_score(F.col("u"), F.col("a"), F.col("w"), F.col("h"))).collect()] == pytest.approx([r[4] for r in rows])
+
+
+def test_bullets_sizes_and_sources(spark):
+    df = spark.createDataFrame([("Main.\nKey insights:\n- one\n•two\n * three\n-four\n- -*five", 512), (None, 1536)], "t string, n long")
+    got = df.select(T.insight_bullets(F.col("t")), T.disk_size(F.col("n")), T.main_answer(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(["one", "two", "three", "five"], "512.00 B", "Main."), ([], "1.50 KB", "")]
+    m = spark.createDataFrame([("[Chunk a] x [graph] [CHUNK A]", ["[Graph]", " ", "Report"])], "t string, f array<string>")
+    assert m.select(T.message_sources(F.col("t"), F.col("f"))).first()[0] == ["[Chunk a]", "[graph]", "Report"]

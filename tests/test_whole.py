@@ -19,10 +19,12 @@ def test_contexts_keep_what_the_limits_of_the_reference_allow(spark, tmp_path):
     words = "word " * 1000  # 1,330 tokens a line
     spark.createDataFrame([("retrieval", "s", "a", text), ("retrieval", "t", "b", words), ("retrieval", "t", "c", words), ("retrieval", "t", "d", words), ("retrieval", "t", "e", words)], "track string, source_id string, chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
     spark.createDataFrame([(i, c) for i, c in enumerate("abcde")], "pos long, chunk_id string").write.parquet(f"{tmp_path}/index_vectors.parquet")
+    spark.createDataFrame([("s", "T"), ("t", None)], "source_id string, title string").write.parquet(f"{tmp_path}/source_list.parquet")
+    spark.createDataFrame([], "seq long, subject string, predicate string, object string, value string, unit string, timeframe string, source_ref string, confidence double, source_id string").write.parquet(f"{tmp_path}/facts.parquet")
     slim = {r["chunk_id"]: r["slim"] for r in core.queries()["slim_contexts"](spark, str(tmp_path)).collect()}
     assert slim["a"] == text and slim["b"] == words[:1800]
     packed = core.queries()["packed_contexts"](spark, str(tmp_path)).where("qid = 't'").collect()
-    assert sorted(r["used"] for r in packed) == [1330, 2660, 3990]  # the fourth line would be 5,320
+    assert sorted(r["used"] for r in packed) == [7, 1337, 2667, 3997, 4003]  # two headers; the fourth line would be 5,327
 
 
 def test_every_twentieth_vector_is_a_query(spark, tmp_path):
