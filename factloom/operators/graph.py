@@ -17,14 +17,16 @@ KEYWORD_STOP = ("what", "which", "show", "give", "about", "from", "with", "this"
 
 
 def token_hits(nodes: DataFrame, q: DataFrame) -> DataFrame:
-    """(nodes' columns, qid, q, overlap): nodes (id, ...) in which some token of a question (qid, q, toks) stands, and how many do.
+    """(nodes' columns, low, qid, q, overlap): nodes (id, ...) that share a token with a question (qid, q, toks) or one of which holds the other.
 
-    A token may stand inside a longer word of a node. Nodes are compared once with each distinct token, not with each question.
+    overlap: how many tokens, repeated ones too, stand in the node, inside a longer word as well. The stated set of questions is
+    broadcast and every node is compared with it in one pass.
     """
-    words = q.select(F.explode("toks").alias("tok"), "qid", "q")
-    each = words.groupBy("tok", "qid", "q").agg(F.count(F.lit(1)).alias("times"))
-    found = nodes.join(F.broadcast(words.select("tok").distinct()), F.lower("id").contains(F.col("tok")))
-    return found.join(F.broadcast(each), "tok").groupBy(*nodes.columns, "qid", "q").agg(F.sum("times").alias("overlap"))
+    # a number of partitions that isn't merged by size: the work is in the comparisons, not in the bytes
+    low = nodes.repartition(2 * nodes.sparkSession.sparkContext.defaultParallelism, "id").withColumn("low", F.lower("id"))
+    has = F.exists("toks", lambda t: F.col("low").contains(t)) | F.col("q").contains(F.col("low")) | F.col("low").contains(F.col("q"))
+    found = low.join(F.broadcast(q.select("qid", "q", "toks")), has)
+    return found.withColumn("overlap", F.size(F.filter("toks", lambda t: F.col("low").contains(t))).cast("long")).drop("toks")
 
 
 def aliases_exact(facts: DataFrame) -> DataFrame:
@@ -185,15 +187,11 @@ def neighbours(e: DataFrame, seeds: DataFrame, most: int = 120) -> DataFrame:
 
 
 def keyword_nodes(degrees: DataFrame, asked: DataFrame, most: int = 18) -> DataFrame:
-    """(qid, id, score, rank): 4 if the node holds the question, 0.9 for each token in it to 3, 0.03 for each edge to 1.2.
-
-    Repeated tokens of a question count again. Nodes meet the tokens of all questions, which are broadcast as distinct words, and
-    each meets the questions of its tokens only; a node that holds the whole question holds its tokens.
-    """
+    """(qid, id, score, rank): 4 if the node holds the question, 0.9 for each token in it to 3, 0.03 for each edge to 1.2. Repeated tokens count again."""
     q = asked.select("qid", F.lower(F.trim(blank(F.col("question")))).alias("q")).where("q != ''")
     q = q.withColumn("toks", F.filter(F.regexp_extract_all("q", F.lit("[a-z0-9]{2,}"), 0), lambda t: ~t.isin(*KEYWORD_STOP)))
     pairs = token_hits(degrees.select("id", "degree"), q)
-    score = F.when(F.lower("id").contains(F.col("q")), 4.0).otherwise(0.0) + F.least(F.lit(3.0), F.col("overlap") * F.lit(0.9))
-    score = score + F.least(F.lit(1.2), F.col("degree") * F.lit(0.03))
+    score = F.when(F.col("low").contains(F.col("q")), 4.0).otherwise(0.0) + F.least(F.lit(3.0), F.col("overlap") * F.lit(0.9))
+    pairs = pairs.where(score > 0).withColumn("score", F.round(score + F.least(F.lit(1.2), F.col("degree") * F.lit(0.03)), 6))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return pairs.select("qid", "id", F.round(score, 6).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return pairs.select("qid", "id", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

@@ -11,7 +11,7 @@ from factloom.functions.text import anchor_score, blank, citations, lexical_toke
 from factloom.operators.graph import neighbours
 from factloom.operators.index import Index, dense_scores, hashed_vectors, top
 from factloom.plans.questions import anchors, query_plans, with_intent
-from factloom.session import cut
+from factloom.session import cut, spread
 
 
 def lexical_scores(asked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -35,10 +35,16 @@ def rank_fusion(dense: DataFrame, lexical: DataFrame, k: int = 8) -> DataFrame:
 
 
 def anchor_candidates(asked: DataFrame, chunks: DataFrame, n: int = 6) -> DataFrame:
-    """(qid, anchor, pos, score, rank): the best chunks of each anchor with a score over 0.30."""
-    a = asked.select("qid", F.explode(anchors(F.col("question"))).alias("anchor"))
-    rows = chunks.select("pos", "text").join(F.broadcast(a), F.exists(query_tokens(F.lower("anchor")), lambda t: F.lower("text").contains(t)))
-    rows = rows.select("qid", "anchor", "pos", F.round(anchor_score(F.col("anchor"), F.col("text")), 6).alias("score")).where("score > 0.30")
+    """(qid, anchor, pos, score, rank): the best chunks of each anchor with a score over 0.30.
+
+    The anchors of the stated questions are broadcast with their tokens; texts are brought to lower case once, not for each anchor.
+    """
+    a = asked.select("qid", F.explode(anchors(F.col("question"))).alias("anchor")).withColumn("a", F.lower(normalize_ws(F.col("anchor")))).withColumn("toks", query_tokens(F.col("a")))
+    low = spread(chunks.select("pos", F.lower(blank(F.col("text"))).alias("t")))
+    rows = low.join(F.broadcast(a), F.exists("toks", lambda k: F.col("t").contains(k)) | F.col("t").contains(F.col("a")))
+    share = F.when(F.size("toks") > 0, F.size(F.filter("toks", lambda k: F.col("t").contains(k))) / F.size("toks")).otherwise(0.0)
+    score = F.when(F.col("a") == "", 0.0).otherwise(F.when(F.col("t").contains(F.col("a")), 1.5).otherwise(0.0) + F.least(F.lit(1.0), share))
+    rows = rows.select("qid", "anchor", "pos", F.round(score, 6).alias("score")).where("score > 0.30")
     w = Window.partitionBy("qid", "anchor").orderBy(F.desc("score"), "pos")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 

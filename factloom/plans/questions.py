@@ -129,20 +129,11 @@ def with_intent(df: DataFrame) -> DataFrame:
 def entity_hits(asked: DataFrame, nodes: DataFrame, most: int = 8) -> DataFrame:
     """(qid, id, score, rank): graph nodes that a question names: 5 if one holds the other, 1 for each token in the node.
 
-    Repeated tokens count again. Nodes meet each distinct token of all questions once; those without such a token that a question holds as a
-    whole are found by equality with its parts. Of equal scores the smaller id comes first.
+    Repeated tokens count again. Of equal scores the smaller id comes first.
     """
     q = asked.select("qid", F.lower(normalize_ws(F.col("question"))).alias("q")).withColumn("toks", query_tokens(F.col("q"))).where("q != ''")
-    found = token_hits(nodes.select("id"), q)
-    low = nodes.select("id", F.lower("id").alias("low")).where("low != ''")
-    n = F.length("q")
-    starts = q.select("qid", "q", F.explode(F.sequence(F.lit(1), n)).alias("i")).select("qid", "q", "i", F.explode(F.sequence(F.lit(1), n - F.col("i") + 1)).alias("k"))
-    parts = starts.select("qid", "q", F.expr("substring(q, i, k)").alias("low")).distinct()
-    inside = low.join(parts, "low").select("id", "qid", "q", F.lit(0).cast("long").alias("overlap"))
-    # a question without a token is in a node as a whole only
-    bare = low.join(F.broadcast(q.where("size(toks) = 0")), F.col("low").contains(F.col("q"))).select("id", "qid", "q", F.lit(0).cast("long").alias("overlap"))
-    pairs = found.unionByName(inside).unionByName(bare).groupBy("id", "qid", "q").agg(F.max("overlap").alias("overlap")).withColumn("low", F.lower("id"))
-    scored = pairs.withColumn("score", F.col("overlap") + F.when(F.col("q").contains(F.col("low")) | F.col("low").contains(F.col("q")), 5).otherwise(0))
+    pairs = token_hits(nodes.select("id").where("id != ''"), q)
+    scored = pairs.select("qid", "id", (F.col("overlap") + F.when(F.col("q").contains(F.col("low")) | F.col("low").contains(F.col("q")), 5).otherwise(0)).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.where("score > 1").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("qid", "id", "score", "rank")
 
