@@ -6,6 +6,7 @@ found from partial counts of each partition, salted and aggregated in two levels
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from factloom.session import cut
 
+#: Candidates for hot keys are broadcast up to this number.
+MOST_CANDIDATES = 500_000
 #: Words that stand for a missing field, in canonical form.
 PLACEHOLDERS = ("", "none", "null", "nil", "na", "nan", "unknown", "tbd", "notdisclosed", "notavailable", "missing")
 
@@ -60,27 +63,32 @@ def keyed(facts: DataFrame) -> DataFrame:
 
 
 def hot_keys(rows: DataFrame, share: float, total: int) -> DataFrame:
-    """Keys that may hold a share of all rows, at most 1/share of them; none with twice that share is missed.
+    """Exactly the keys that hold at least share * total rows; at most 1 / share of them.
 
-    Every partition counts its own keys and gives those that hold the share of its rows. A key with 2 * share of all
-    rows loses less than share * total in the partitions that leave it out, so its partial counts sum to share * total.
+    A key with a share of all rows has it in one partition at least. So the keys that have the share of some partition are candidates,
+    1 / share of each partition at most, and their rows are counted again, each partition's partial count first.
     """
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64())])
-        seen, n = schema.empty_table(), 0
+        seen, fresh, held, n = schema.empty_table(), [], 0, 0
 
-        def counted(t: pa.Table) -> pa.Table:
-            return t.group_by(["k1", "k2"]).aggregate([("n", "sum")]).rename_columns(["k1", "k2", "n"]).cast(schema)
+        def merged(parts: list[pa.Table]) -> pa.Table:
+            return pa.concat_tables(parts).group_by(["k1", "k2"]).aggregate([("n", "sum")]).rename_columns(["k1", "k2", "n"]).cast(schema)
 
         for b in batches:
             n += b.num_rows
-            one = pa.Table.from_arrays([b.column(0), b.column(1), pa.repeat(pa.scalar(1, pa.int64()), b.num_rows)], ["k1", "k2", "n"])
-            seen = counted(pa.concat_tables([seen, counted(one)]))
-        keep = seen.filter(pc.greater_equal(seen["n"], pa.scalar(max(2, int(share * n)), pa.int64())))
-        yield from keep.to_batches()
-
-    return rows.select("k1", "k2").mapInArrow(heavy, "k1 long, k2 long, n long").groupBy("k1", "k2").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, share * total)).select("k1", "k2")
+            fresh.append(pa.Table.from_arrays([b.column(0), b.column(1), pa.repeat(pa.scalar(1, pa.int64()), b.num_rows)], schema=schema))
+            held += b.num_rows
+            if held > max(200_000, seen.num_rows):  # merged when as much is new as is known, so the work stays in proportion
+                seen, fresh, held = merged([seen, *fresh]), [], 0
+        seen = merged([seen, *fresh])
+        yield from seen.filter(pc.greater_equal(seen["n"], pa.scalar(max(1, math.ceil(share * n)), pa.int64()))).to_batches()
+
+    candidates = rows.select("k1", "k2").mapInArrow(heavy, "k1 long, k2 long, n long").select("k1", "k2").distinct()
+    candidates = cut(candidates)
+    counted = rows.join(F.broadcast(candidates) if candidates.count() <= MOST_CANDIDATES else candidates, ["k1", "k2"], "left_semi")
+    return counted.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, share * total)).select("k1", "k2")
 
 
 def formatting_duplicates(facts: DataFrame, hot_share: float = 0.002, salts: int = 64) -> DataFrame:

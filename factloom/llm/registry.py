@@ -12,7 +12,7 @@ from factloom.llm.names import entity_spellings, spelling_pairs
 from factloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from factloom.llm.packing import document_containers
 from factloom.llm.scans import page_noise, repaired_texts
-from factloom.llm.survivors import surviving_fields
+from factloom.llm.survivors import surviving_fields, surviving_records
 from factloom.llm.tokens import token_ids
 from factloom.llm.toxicity import review_scores, source_rates
 from factloom.llm.truncation import cut_shares, cut_texts
@@ -25,6 +25,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return surviving_fields(*(table(spark, d, t) for t in ("facts", "fact_groups", "source_list", "chunks")))
 
 
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    return surviving_records(*(table(spark, d, t) for t in ("facts", "fact_groups", "source_list", "chunks")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return page_noise(table(spark, d, "chunks"))
 
@@ -76,7 +80,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_text, p3_found, p4_found, p6_found, p7_found, p7_shares, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_text, p3_found, p4_found, p6_found, p7_found, p7_shares, p8_ids, p9_containers, p10_found, p10_scores, p10_rates)}
 
 
 _AMOUNT = r"(?i)^[\s\p{Z}'“”*<(\[]*(?:(?:about|approximately|approx\.|approx|around|roughly|circa|ca\.|c\.|nearly|almost|some|~|≈|put at|amounting to)\s*)*[(]?\s*(?:us\$|\p{Sc}|\b(?:eur|usd|gbp|dkk)\b)?\s*[-+−]?\s*(?:us\$|\p{Sc}|\b(?:eur|usd|gbp|dkk)\b)?\s*[.,]?\d"
@@ -96,4 +100,6 @@ def oracle_sql() -> dict[str, str]:
         s AS (SELECT a.pos AS p, b.pos AS q, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 9) AS s FROM v a, v b WHERE a.pos <> b.pos),
         r AS (SELECT p, q, row_number() OVER (PARTITION BY p ORDER BY s DESC, q) AS rn FROM s)
         SELECT DISTINCT least(p, q) AS pos_a, greatest(p, q) AS pos_b FROM r WHERE rn <= 10"""
-    return {"p1_found": survivors, "p4_found": pairs}
+    records = f"""WITH r AS ({survivors}) SELECT group_id, max(CASE WHEN field = 'value' THEN value END) AS value, max(CASE WHEN field = 'source_ref' THEN source_ref END) AS source_ref, max(CASE WHEN field = 'confidence' THEN confidence END) AS confidence,
+        {", ".join(f"max(CASE WHEN field = '{f}' THEN seq END) AS {f}_seq" for f in ("value", "source_ref", "confidence"))} FROM r JOIN facts USING (seq) GROUP BY group_id"""
+    return {"p1_found": survivors, "p1_records": records, "p4_found": pairs}

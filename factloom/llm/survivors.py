@@ -43,3 +43,16 @@ def surviving_fields(facts: DataFrame, groups: DataFrame, sources: DataFrame, ch
     best = own.unionByName(cited.select("group_id", "source_ref"), allowMissingColumns=True).groupBy("group_id").agg(*(F.max(f).alias(f) for f in FIELDS))
     taken = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), (-F.col(f)["back"]).alias("seq")) for f in FIELDS)))
     return best.select("group_id", taken.alias("x")).select("group_id", "x.field", "x.seq").where("seq IS NOT NULL")
+
+
+def surviving_records(facts: DataFrame, groups: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(group_id, value, source_ref, confidence, value_seq, source_ref_seq, confidence_seq): the surviving record of each group.
+
+    Each field is that of the member surviving_fields() takes it from, null where no member has a usable one; a group without
+    any gives no row. Nulls, repeated rows and empty tables: see surviving_fields(). Of repeated facts with one seq the smallest texts count.
+    """
+    taken = surviving_fields(facts, groups, sources, chunks)
+    rows = facts.groupBy("seq").agg(F.min("value").alias("value"), F.min("source_ref").alias("source_ref"), F.min(F.col("confidence").cast("double")).alias("confidence"))
+    of = taken.join(rows, "seq")
+    one = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
+    return of.groupBy("group_id").agg(*(one(f, f).alias(f) for f in FIELDS), *(one(f, "seq").alias(f"{f}_seq") for f in FIELDS))

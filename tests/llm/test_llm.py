@@ -30,6 +30,9 @@ def test_survivors(spark):
     chunks = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "chunk_id string, seq int")
     got = {(r[0], r[1]): r[2] for r in survivors.surviving_fields(facts, groups, sources, chunks).collect()}
     assert got == {(1, "value"): 2, (1, "confidence"): 2, (1, "source_ref"): 3, (3, "value"): 5, (3, "confidence"): 5, (4, "value"): 7}
+    records = {r["group_id"]: tuple(r)[1:] for r in survivors.surviving_records(facts, groups, sources, chunks).collect()}
+    assert records == {1: ("about 13 m", "[chunk  a ]", 0.9, 2, 3, 2), 3: ("5", None, 0.5, 5, None, 5), 4: ("(4.1)", None, None, 7, None, None)}
+    assert survivors.surviving_records(facts.limit(0), groups, sources, chunks).count() == 0
     assert survivors.surviving_fields(facts.limit(0), groups, sources, chunks).count() == 0
     assert survivors.surviving_fields(facts, groups.limit(0), sources.limit(0), chunks.limit(0)).count() == 0
 
@@ -206,6 +209,16 @@ def test_entities(spark):
     assert names.entity_spellings(df.limit(0), given).count() == 0
 
 
+def test_hot_keys_are_exact(spark):
+    """A key with just the share counts, one with a row less doesn't, however the rows are spread."""
+    rows = [(1, 1)] * 100 + [(2, 2)] * 99 + [(i, i) for i in range(10, 811)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "k1 long, k2 long")
+    for parts in (1, 5, 40):
+        assert [tuple(r) for r in dedup.hot_keys(df.repartition(parts), 0.1, 1000).collect()] == [(1, 1)]
+    assert dedup.hot_keys(df.limit(0), 0.1, 0).count() == 0
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 101)], "a long, b long")
     assert {r["label"] for r in names.components(links).where("id < 50").collect()} == {1} and names.components(links).count() == 42
