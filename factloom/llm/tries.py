@@ -12,7 +12,7 @@ from factloom.session import cut
 
 #: A trie holds so many words at most; larger ones are split at their upper levels. A task asks for so many words of one trie.
 WORDS_PER_TRIE = 20_000
-ASKED_PER_TASK = 20_000
+ASKED_PER_TASK = 4_000
 #: Tries are split by prefixes up to this length.
 DEEPEST = 16
 
@@ -217,4 +217,7 @@ def trie_join(words: DataFrame, asked: DataFrame, fold: dict[str, str] | None =
         return pd.DataFrame(out, columns=["key", "form", "word", "distance"])
 
     keys = ("key", "shard", "task")
-    return kept.select(*keys, "word").groupBy(*keys).cogroup(sent.select(*keys, "form", "bound").groupBy(*keys)).applyInPandas(near, "key string, form string, word string, distance int")
+    # a number of partitions that isn't merged by size: the work is in the walks, not in the bytes
+    parts = max(2 * words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kept, sent = kept.select(*keys, "word").repartition(parts, *keys), sent.select(*keys, "form", "bound").repartition(parts, *keys)
+    return kept.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(near, "key string, form string, word string, distance int")
