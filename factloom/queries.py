@@ -691,7 +691,10 @@ def stream_answers(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("user_id").alias("request"), F.col("event_id").alias("n"), F.concat(F.col("event_type"), F.lit(" ")).alias("response"))
     last = e.groupBy("request").agg(F.max("n").alias("last"))
     t = e.join(last, "request").select("request", "n", "response", (F.col("n") == F.col("last")).alias("done"), F.lit("stop").alias("done_reason"))
-    return build.answers_of_token_table(t)
+    root = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    t.write.parquet(f"{root}/in")
+    build.stream_answers(spark, f"{root}/in", "request long, n long, response string, done boolean, done_reason string", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return build.built(spark, f"{root}/out").drop("batch")
 
 
 @query

@@ -27,9 +27,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where that is unset and the master is local."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and sc._jsc.sc().getCheckpointDir().isEmpty() and not sc.master.split("[")[0] == "local":
+        raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
     return folder or sc._jsc.sc().getCheckpointDir().get()

@@ -55,14 +55,18 @@ def _split(text: str) -> tuple[str, str]:
     return "".join(thoughts).strip(), "".join(answer).strip()
 
 
-def answers_of_tokens(tokens: DataFrame) -> DataFrame:
+def answers_of_tokens(tokens: DataFrame, patience_ms: int | None = None) -> DataFrame:
     """(request, thinking, answer, done_reason) of a stream of token rows (request, n, response, done, done_reason).
 
-    The text so far is kept as state; a row is given when the last token of a request has arrived, and the state goes.
+    The text so far is kept as state; a row is given when the last token of a request has arrived, and the state goes. With
+    patience_ms, for triggers that go on, a request that gets no token for so long gives what it has, with the reason "timeout",
+    so no state is kept for ever; a run over what is available now ends without it.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         text, reason, done = state.get if state.exists else ("", "", False)
+        if state.hasTimedOut:
+            done, reason = True, "timeout"
         for pdf in batches:
             for r, d, why in zip(*(pdf.sort_values("n")[c] for c in ("response", "done", "done_reason"))):
                 text += r or ""
@@ -72,8 +76,20 @@ def answers_of_tokens(tokens: DataFrame) -> DataFrame:
             yield pd.DataFrame([(key[0], *_split(text), reason)], columns=["request", "thinking", "answer", "done_reason"])
         else:
             state.update((text, reason, done))
+            if patience_ms is not None:
+                state.setTimeoutDuration(patience_ms)
 
-    return tokens.groupBy("request").applyInPandasWithState(step, "request long, thinking string, answer string, done_reason string", "text string, reason string, done boolean", "append", "NoTimeout")
+    return tokens.groupBy("request").applyInPandasWithState(step, "request long, thinking string, answer string, done_reason string", "text string, reason string, done boolean", "append", "NoTimeout" if patience_ms is None else "ProcessingTimeTimeout")
+
+
+def stream_answers(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> StreamingQuery:
+    """answers_of_tokens over all files of source, written to target; a batch that is run again overwrites its folder."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    rows = spark.readStream.schema(schema).parquet(source)
+    return answers_of_tokens(rows).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def answers_of_token_table(tokens: DataFrame) -> DataFrame:

@@ -282,6 +282,14 @@ def test_token_stream(spark, tmp_path):
     q.awaitTermination()
     assert [tuple(r) for r in spark.table("answers").collect()] == [(1, "hm", "yes", "stop")]
     assert tuple(build.answers_of_token_table(df.where("request = 1")).first()) == (1, "hm", "yes", "stop")
+    # a stream that goes on gives up an open request
+    q = build.answers_of_tokens(spark.readStream.schema(kind).parquet(str(tmp_path / "t")), 1000).writeStream.format("memory").queryName("patient").outputMode("append").trigger(processingTime="1 second").start()
+    for _ in range(60):
+        if spark.table("patient").count() == 2:
+            break
+        q.awaitTermination(1)
+    q.stop()
+    assert {tuple(r) for r in spark.table("patient").collect()} == {(1, "hm", "yes", "stop"), (2, "", "open", "timeout")}
 
 
 def test_evals(spark):
