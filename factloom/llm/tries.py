@@ -12,7 +12,7 @@ from factloom.session import cut
 
 #: A trie holds so many words at most; larger ones are split at their upper levels. A task asks for so many words of one trie.
 WORDS_PER_TRIE = 20_000
-ASKED_PER_TASK = 4_000
+ASKED_PER_TASK = 12_000
 #: Tries are split by prefixes up to this length.
 DEEPEST = 16
 
