@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from factloom.session import cut
 
 #: Fixed words that a keyword search passes over.
 KEYWORD_STOP = ("what", "which", "show", "give", "about", "from", "with", "this", "that", "the")
+#: So many links between near names are settled on the driver.
+MOST_LOCAL = 100_000
 
 
 def token_hits(nodes: DataFrame, q: DataFrame) -> DataFrame:
@@ -49,80 +52,162 @@ def indel_ratio(a: str, b: str) -> float:
     return 200 * (len(a) - s.bit_count()) / max(1, len(a) + len(b))
 
 
-def _segments(length: int, edits: int) -> list[tuple[int, int]]:
-    """(start, length) of edits + 1 parts of a text, of which one is left whole by so many edits."""
-    n = min(length, edits + 1)
-    base, longer = divmod(length, n)
-    out, at = [], 0
-    for k in range(n):
-        size = base + (k >= n - longer)
-        out.append((at, size))
-        at += size
-    return out
-
-
-def similar_keys(keys: DataFrame, threshold: int = 92) -> DataFrame:
-    """(key, other, score) of all pairs of keys with token_sort_ratio >= threshold, both ways. keys: (key).
-
-    Exact, by segments: a pair within d insertions and deletions shares one of d + 1 parts of the shorter text, shifted by d at
-    most. So pairs come from an equi-join on (length, part, text) and are checked by their ratio.
+class _Texts:
+    """Texts of one length, for comparisons in numpy: characters, counts of hashed bigrams, and where each character stands, in bits."""
+
+    def __init__(self, texts: list[str]):
+        self.n = len(texts[0])
+        self.codes = np.array([[ord(c) for c in s] for s in texts], np.int64).reshape(len(texts), self.n)
+
+    def grams(self, size: int) -> np.ndarray:
+        """Each bigram (edges included) with the number of its occurrence is counted in one of `size` columns."""
+        g = np.pad(self.codes + 1, ((0, 0), (1, 1)))
+        g = np.sort(g[:, :-1] * 0x110001 + g[:, 1:], axis=1)
+        at = np.arange(g.shape[1])
+        nth = at - np.maximum.accumulate(np.where(np.diff(g, axis=1, prepend=-1) != 0, at, 0), axis=1)
+        columns = (((g + nth * 0x9E3779B1) * 2654435761 & 0xFFFFFFFFFFFF) >> 15) % size
+        return np.bincount((np.arange(len(g))[:, None] * size + columns).ravel(), minlength=len(g) * size).reshape(len(g), size).astype(np.float32)
+
+    def places(self, alphabet: np.ndarray) -> np.ndarray:
+        """(words of 64 bits, text, character of the alphabet): a bit for each place of the text at which it stands."""
+        bits = np.zeros(((self.n + 63) // 64, len(self.codes), len(alphabet) + 1), np.uint64)
+        index, rows = np.searchsorted(alphabet, self.codes), np.arange(len(self.codes))
+        for p in range(self.n):
+            bits[p // 64, rows, index[:, p]] |= np.uint64(1 << p % 64)
+        return bits
+
+
+def _common(places: np.ndarray, a: np.ndarray, codes: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of each pair of texts a[i], b[i], by bits as in indel_ratio, for all pairs at a time."""
+    state = [np.full(len(a), ~np.uint64(0)) for _ in places]
+    for j in range(codes.shape[1]):
+        c, carry = codes[b, j], None
+        for w, bits in enumerate(places):
+            s = state[w]
+            u = s & bits[a, c]
+            t = s + u
+            over = t < s
+            if carry is not None:
+                t2 = t + carry
+                over |= t2 < t
+                t = t2
+            state[w], carry = t | (s - u), over.astype(np.uint64)
+    return sum(np.bitwise_count(~s).astype(np.int64) for s in state)
+
+
+def similar_texts(a: list[str], b: list[str], threshold: int, at_once: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, indel ratio) of the pairs a[i], b[j] with a ratio >= threshold. The texts of a have one length and those of b have one.
+
+    Of texts within d edits with l characters in common at least l + 1 - d bigrams agree; a product of matrices counts these for all
+    pairs, a bit more where hashes meet, and the pairs that it leaves are compared character by character.
+    """
+    x, y = _Texts(a), _Texts(b)
+    both = x.n + y.n
+    d = int((100 - threshold) / 100 * both + 1e-9)
+    d -= (both - d) % 2
+    if d < abs(x.n - y.n):
+        return
+    least = (both - d) // 2 + 1 - d
+    size = 128 if both < 62 else 256 if both < 120 else 512
+    alphabet = np.unique(x.codes)
+    places, codes = x.places(alphabet), np.searchsorted(alphabet, y.codes)
+    codes[alphabet[np.minimum(codes, len(alphabet) - 1)] != y.codes] = len(alphabet)  # characters that no text of a has
+    left, right, step = x.grams(size), y.grams(size).T.copy(), max(1, at_once // len(b))
+    for start in range(0, len(a), step):
+        near = np.flatnonzero(left[start : start + step] @ right >= least)
+        for k in range(0, len(near), 200_000):
+            i, j = np.divmod(near[k : k + 200_000], len(b))
+            i += start
+            score = 200 * _common(places, i, codes, j) / both
+            kept = np.floor(score) >= threshold
+            yield i[kept], j[kept], score[kept]
+
+
+def similar_keys(keys: DataFrame, threshold: int = 92, most_in_block: int = 4000, chars_in_block: int = 400_000) -> DataFrame:
+    """(id, other, score) of all pairs of keys with token_sort_ratio >= threshold, once each, the other one earlier. keys: (key, id, at), normalised.
+
+    Exact. Short keys, whose ratio allows for one edit at most, meet in an equi-join on what is left without one of their characters.
+    Longer ones are put into blocks of one length and bounded size, and blocks whose lengths allow for the ratio are compared with
+    each other, so no common part of many keys brings all of them together and no task holds more than two blocks.
     """
     loss = (100 - threshold) / 100
-
-    def edits(a: int, b: int) -> int:
-        return int(loss * (a + b) + 1e-9)
-
-    def longest(n: int) -> int:
-        return int(n * (1 + loss) / (1 - loss) + 1e-9)
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k in pdf["key"]:
-                s = " ".join(sorted(k.split()))
-                n = len(s)
-                for i, (at, size) in enumerate(_segments(n, edits(n, longest(n)))):
-                    out.append((k, s, True, n, i, s[at : at + size]))
-                for m in range(1, n + 1):
-                    if longest(m) < n:
-                        continue
-                    d = edits(m, n)
-                    for i, (at, size) in enumerate(_segments(m, edits(m, longest(m)))):
-                        out += [(k, s, False, m, i, x) for x in {s[p : p + size] for p in range(max(0, at - d), min(n - size, at + d) + 1)}]
-            yield pd.DataFrame(out, columns=["key", "sorted", "own", "length", "part", "piece"])
-
-    rows = keys.select("key").mapInPandas(emit, "key string, sorted string, own boolean, length int, part int, piece string")
-    a = rows.where("own").select("length", "part", "piece", F.col("key").alias("a"), F.col("sorted").alias("sa"))
-    b = rows.where("NOT own").select("length", "part", "piece", F.col("key").alias("b"), F.col("sorted").alias("sb"))
-    ratio = F.pandas_udf(lambda x, y: pd.Series([indel_ratio(p, q) for p, q in zip(x, y)], dtype=float), "double")
-    pairs = a.join(b, ["length", "part", "piece"]).where("a != b").select("a", "sa", "b", "sb").distinct().withColumn("score", ratio("sa", "sb"))
-    pairs = pairs.where(F.floor("score") >= threshold)
-    return pairs.select(F.col("a").alias("key"), F.col("b").alias("other"), "score").union(pairs.select("b", "a", "score")).distinct()
+    edits = lambda both: F.floor(F.lit(loss) * both + 1e-9)
+    n = F.col("n")
+    rows = keys.select("key", "id", "at", F.array_join(F.array_sort(F.split("key", " ")), " ").alias("s")).withColumn("n", F.length("s"))
+    rows = cut(rows.where("n > 0").select("id", "at", "s", "n"))
+
+    cuts = F.when(edits(2 * n - 1) == 1, F.expr("array_distinct(transform(sequence(1, n), i -> concat(left(s, i - 1), substr(s, i + 1))))"))
+    whole = rows.where(edits(2 * n) < 2).select(F.col("s").alias("text"), F.col("id").alias("i"), F.col("at").alias("i_at"), F.col("n").alias("i_n"))
+    less = rows.where(edits(2 * n - 1) < 2).select(F.explode(F.concat(F.when(edits(2 * n) < 2, F.array("s")).otherwise(F.array().cast("array<string>")), F.coalesce(cuts, F.array().cast("array<string>")))).alias("text"), F.col("id").alias("j"), F.col("at").alias("j_at"), F.col("n").alias("j_n"))
+    short = whole.join(less, "text").where("(i_n < j_n OR i < j) AND i_at != j_at")
+    later = F.col("i_at") > F.col("j_at")
+    score = 200 * F.col("i_n") / (F.col("i_n") + F.col("j_n"))
+    short = short.where(F.floor(score) >= threshold).select(F.when(later, F.col("i")).otherwise(F.col("j")).alias("id"), F.when(later, F.col("j")).otherwise(F.col("i")).alias("other"), score.alias("score"))
+
+    room = F.greatest(F.lit(1), F.least(F.lit(most_in_block), F.floor(F.lit(chars_in_block) / n)))
+    blocks = rows.groupBy("n").agg(F.count(F.lit(1)).alias("size")).select("n", F.ceil(F.col("size") / room).cast("int").alias("parts"))
+    rows = rows.join(blocks, "n").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    blocks = cut(blocks.select("n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    other = blocks.select(F.col("n").alias("m"), F.col("part").alias("q"))
+    most = edits(F.col("n") + F.col("m"))
+    met = cut(blocks.join(other, (F.col("m") >= n) & (most >= F.col("m") - n) & (most >= 2) & ((F.col("m") > n) | (F.col("q") >= F.col("part")))))
+    group = ("n", "part", "m", "q")
+    # a number of partitions that isn't merged by size: the work is in the comparisons, not in the bytes
+    count = max(4 * keys.sparkSession.sparkContext.defaultParallelism, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    a = rows.join(met, ["n", "part"]).select(*group, "id", "at", "s").repartition(count, *group)
+    mine = rows.select(F.col("n").alias("m"), F.col("part").alias("q"), F.col("id").alias("other"), F.col("at").alias("other_at"), F.col("s").alias("other_s"))
+    b = mine.join(met, ["m", "q"]).select(*(F.col(c).alias(f"b_{c}") for c in group), "other", "other_at", "other_s").repartition(count, *(f"b_{c}" for c in group))
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            same = x["n"].iloc[0] == x["m"].iloc[0] and x["part"].iloc[0] == x["q"].iloc[0]
+            ids, at, other_ids, other_at = (v.to_numpy() for v in (x["id"], x["at"], y["other"], y["other_at"]))
+            for i, j, score in similar_texts(x["s"].tolist(), y["other_s"].tolist(), threshold):
+                kept = (ids[i] < other_ids[j]) & (at[i] != other_at[j]) if same else at[i] != other_at[j]
+                i, j, score = i[kept], j[kept], score[kept]
+                later = at[i] > other_at[j]
+                out.append(pd.DataFrame({"id": np.where(later, ids[i], other_ids[j]), "other": np.where(later, other_ids[j], ids[i]), "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "score": []})
+
+    pairs = a.groupBy(*group).cogroup(b.groupBy(*(f"b_{c}" for c in group))).applyInPandas(near, "id long, other long, score double")
+    return short.unionByName(pairs)
+
+
+def representatives(links: DataFrame, most_local: int = MOST_LOCAL) -> DataFrame:
+    """(other): the ids in links (id, other) to earlier ids that are representatives, as an id is that has no link to one.
+
+    A fold, computed in rounds: an earlier id without open links is one; an id with a link to one is none, and its links are closed. Every round
+    settles at least the first open id of each cluster, so the rounds end; at most most_local links are settled on the driver.
+    """
+    others = links.select("other").distinct()
+    links = cut(links.select("id", "other"))
+    beaten = links.select("id").limit(0)
+    while links.count() > most_local:
+        new = cut(links.select("other").distinct().join(links.select(F.col("id").alias("other")).distinct(), "other", "left_anti"))
+        none = cut(links.join(new, "other", "left_semi").select("id").distinct())
+        links = cut(links.join(new, "other", "left_anti").join(none, "id", "left_anti").join(none.select(F.col("id").alias("other")), "other", "left_anti"))
+        beaten = cut(beaten.union(none))
+    rest = {(r["id"], r["other"]) for r in links.collect()}
+    lost: set[int] = set()
+    while rest:
+        new = {y for _, y in rest} - {x for x, _ in rest}
+        none = {x for x, y in rest if y in new}
+        rest = {(x, y) for x, y in rest if y not in new and x not in none and y not in none}
+        lost |= none
+    beaten = beaten.union(links.sparkSession.createDataFrame([(x,) for x in lost], "id long"))
+    return others.join(beaten.select(F.col("id").alias("other")), "other", "left_anti")
 
 
 def aliases_fuzzy(facts: DataFrame, threshold: int = 92) -> DataFrame:
-    """(key, rep): keys in order of arrival join the most similar earlier representative of ratio >= threshold, else are one themselves.
-
-    That order is a fold, computed in rounds: a key all of whose earlier neighbours are known to be no representatives is
-    one; a key with a representative among them is none. Every round settles at least the first open key of each cluster, so
-    the rounds end.
-    """
+    """(key, rep): keys in order of arrival join the most similar earlier representative of ratio >= threshold, else are one themselves."""
     first = facts.select(F.explode(F.array(*(F.struct(clean_entity(F.col(c)).alias("name"), (F.col("seq") * 2 + i).alias("at")) for i, c in enumerate(("subject", "object"))))).alias("e"))
     first = first.select("e.*").where("name != ''").withColumn("key", name_key(F.col("name"))).where("key != ''").groupBy("key").agg(F.min_by("name", "at").alias("rep"), F.min("at").alias("at"))
-    first = cut(first)
-    order = first.select(F.col("key").alias("other"), F.col("at").alias("other_at"))
-    links = cut(similar_keys(first, threshold).join(first.select("key", "at"), "key").join(order, "other").where("other_at < at"))
-    state = cut(links.select("key").union(links.select("other")).distinct().withColumn("is_rep", F.lit(None).cast("boolean")))
-    while True:
-        seen = links.join(state.select(F.col("key").alias("other"), F.col("is_rep").alias("r")), "other").groupBy("key").agg(F.max("r").alias("some"), F.count_if(F.col("r").isNull()).alias("open"))
-        new = F.when(F.col("some"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = cut(state.join(seen, "key", "left").select("key", F.coalesce("is_rep", new).alias("is_rep")))
-        if state.where("is_rep IS NULL").isEmpty():
-            break
-    reps = state.where("is_rep").select(F.col("key").alias("other"))
-    best = links.join(reps, "other", "left_semi").groupBy("key").agg(F.max_by("other", F.struct("score", -F.col("other_at"))).alias("other"))
-    best = best.join(state.where("is_rep"), "key", "left_anti").join(first.select(F.col("key").alias("other"), F.col("rep").alias("other_rep")), "other")
-    return first.join(best.select("key", "other_rep"), "key", "left").select("key", F.coalesce("other_rep", "rep").alias("rep"))
+    first = cut(first.withColumn("id", F.monotonically_increasing_id()))
+    links = cut(similar_keys(first, threshold))
+    reps = representatives(links).join(first.select(F.col("id").alias("other"), F.col("rep").alias("other_rep"), F.col("at").alias("other_at")), "other")
+    best = links.join(reps, "other").groupBy("id").agg(F.max_by("other_rep", F.struct("score", -F.col("other_at"))).alias("other_rep"))
+    return first.join(best, "id", "left").select("key", F.coalesce("other_rep", "rep").alias("rep"))
 
 
 def canonical_facts(facts: DataFrame, aliases: DataFrame | None = None, most_refs: int = 8) -> DataFrame:

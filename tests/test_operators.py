@@ -102,6 +102,51 @@ def test_fuzzy_aliases_equal_the_fold(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [80, 92, 100])
+def test_similar_keys_are_those_of_all_comparisons(spark, threshold):
+    rng = np.random.default_rng(5)
+    keys = []
+    for base in ("ab", "m 12", "eur 12.50", "1598700 kg", "187.8 m usd eur", "area quenby berth 15 segment contract", "area x berth 7 segment forecast from ravensund to tarnvik and back to ketterby"):
+        for _ in range(40):
+            s = list(base)
+            for _ in range(rng.integers(0, 3 + len(s) // 12)):
+                at = rng.integers(len(s) + 1)
+                s[at : at + rng.integers(2)] = "0123 aé"[rng.integers(7)] * rng.integers(2)
+            keys.append(" ".join("".join(s).split()))
+    keys = [k for k in dict.fromkeys(keys) if k]
+    sort = lambda x: " ".join(sorted(x.split()))
+    want = {(i, j, naive_ratio(sort(a), sort(keys[j]))) for i, a in enumerate(keys) for j in range(i)}
+    want = {x for x in want if int(x[2]) >= threshold}
+    df = spark.createDataFrame([(k, i, 2 * i) for i, k in enumerate(keys)], "key string, id long, at long")
+    for room in (4000, 7):
+        got = [tuple(r) for r in graph.similar_keys(df, threshold, room).collect()]
+        assert len(got) == len(want) and {(i, j, round(x, 9)) for i, j, x in got} == {(i, j, round(x, 9)) for i, j, x in want}
+
+
+def test_long_keys_with_common_parts_are_compared_in_bounded_memory(spark):
+    # by parts of texts with all their shifts each of these gave some 20,000 rows, of which most agree
+    rng = np.random.default_rng(6)
+    word = lambda: "".join("abcdefghijklmnoprstuvy"[i] for i in rng.integers(22, size=9))
+    keys = [f"area {word()} berth {i % 90} segment revenue from {word()} to {word()} with {word()} and {word()} and {word()} before 2020" for i in range(3000)]
+    keys += [k.replace("berth", "birth") for k in keys[::300]]
+    df = spark.createDataFrame([fact(i, k, k) for i, k in enumerate(keys)], FACT)
+    moved = {r["key"]: r["rep"] for r in graph.aliases_fuzzy(df).where("key != rep").collect()}
+    assert moved == {k: keys[i * 300] for i, k in enumerate(keys[3000:])}
+
+
+def test_representatives_are_settled_alike_in_rounds_and_on_the_driver(spark):
+    rng = np.random.default_rng(8)
+    rows = sorted({(int(max(x)), int(min(x))) for x in rng.integers(0, 60, size=(90, 2)) if x[0] != x[1]})
+    rows += [(i + 1, i) for i in range(100, 108)]  # a chain
+    reps = {}
+    for i in range(109):
+        reps[i] = not any(reps[y] for x, y in rows if x == i)
+    links = spark.createDataFrame(rows, "id long, other long")
+    for most in (20, 1000):
+        got = [r["other"] for r in graph.representatives(links, most).collect()]
+        assert sorted(got) == sorted({y for _, y in rows if reps[y]})
+
+
 def test_neighbours_and_degrees(spark):
     e = graph.edges(spark.createDataFrame([fact(1, "A", "B"), fact(2, "B", "C"), fact(3, "A", "B"), fact(4, "C", "C")], FACT))
     assert {r["id"]: r["degree"] for r in graph.node_degrees(e).collect()} == {"A": 2, "B": 3, "C": 3}
