@@ -209,6 +209,17 @@ def test_entities(spark):
     assert names.entity_spellings(df.limit(0), given).count() == 0
 
 
+def test_names_with_numbers_are_read(spark):
+    given = spark.createDataFrame([("Margaret", "Meg")], "full_name string, short_name string")
+    one = ["Studio 54 Logistics Ltd", "studio 54 logistics", "Studio 54 Logistcs", "54 Studio Logistics plc"]
+    two, three = ["Studio 55 Logistics", "STUDIO-55 LOGISTICS LTD"], ["7 Harbours Group", "The 7 Harbours Group", "7 Harbuors Group"]
+    none = ["8593700 lbs", "6331 t", "48.2", "area estwick berth 5 segment insurance", "berth 5 area estwick segment insurance", "EUR 12 million", "12 million EUR"]
+    df = spark.createDataFrame([(n,) for n in one + two + three + none], "name string")
+    got = {tuple(r) for r in names.spelling_pairs(names.entity_spellings(df, given)).collect()}
+    low = lambda xs: sorted({" ".join(n.lower().replace("-", " ").split()) for n in xs})
+    assert got == {(a, b) for same in (one, two, three) for a in low(same) for b in low(same) if a < b}
+
+
 def test_hot_keys_are_exact(spark):
     """A key with just the share counts, one with a row less doesn't, however the rows are spread."""
     rows = [(1, 1)] * 100 + [(2, 2)] * 99 + [(i, i) for i in range(10, 811)]
