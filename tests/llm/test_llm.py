@@ -209,6 +209,17 @@ def test_entities(spark):
     assert names.entity_spellings(df.limit(0), given).count() == 0
 
 
+def test_copies_of_pages_have_the_noise_of_the_pages(spark):
+    body = ["The harbour tariff was raised again\nby the board of the port.", "No new berths were built that year\nand none were planned.", "Tribunal orders were read aloud\nbefore the committee met.", "Freight fell in the second half\nof the long winter season."]
+    texts = ["Harbour Review Quarterly | 3\n" + b if i < 2 else b for i, b in enumerate(body)]
+    schema = "track string, chunk_id string, source_id string, page_or_doc_idx int, char_start int, char_end int, text string"
+    made = lambda k: spark.createDataFrame([("retrieval", f"c{p}-{i}", "s", p + 100 * i, 0, len(t), t) for i in range(k) for p, t in enumerate(texts)], schema)
+    one = {tuple(r) for r in scans.page_noise(made(1)).collect()}
+    assert one == {("c0-0", "line", "1"), ("c1-0", "line", "1")}
+    many = {tuple(r) for r in scans.page_noise(made(5)).collect()}
+    assert many == {(c.replace("-0", f"-{i}"), kind, item) for c, kind, item in one for i in range(5)}
+
+
 def test_names_with_numbers_are_read(spark):
     given = spark.createDataFrame([("Margaret", "Meg")], "full_name string, short_name string")
     one = ["Studio 54 Logistics Ltd", "studio 54 logistics", "Studio 54 Logistcs", "54 Studio Logistics plc"]
